@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import bpe_automaton, leaks, pieces, reading, site_lines
+from . import body, bpe_automaton, leaks, pieces, reading, residue, site_lines
 
 #: Vocabulary of problem 8; a parameter, never copied into the repository.
 VOCABULARY = os.environ.get("DERLEM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -24,6 +24,41 @@ def two_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.unionAll(pages)
 
 
+def web_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, rec_id, url, title, text, preview of page_results and static_slugs_output."""
+    pages = table(spark, sf_dir, "page_results").select(F.lit("page_results").alias("tbl"), F.col("page_id").alias("rec_id"), "url", "title", F.col("body_content").alias("text"), F.lit(False).alias("preview"))
+    slugs = table(spark, sf_dir, "static_slugs_output").select(F.lit("static_slugs_output").alias("tbl"), F.col("slug_page_id").alias("rec_id"), "url", "title", F.col("content_preview").alias("text"), F.lit(True).alias("preview"))
+    return pages.unionAll(slugs)
+
+
+def shared_pages(spark: SparkSession, sf_dir: str, only_pages: bool = False) -> tuple[DataFrame, body.BodyModel | None]:
+    """Rows with the repeated lines of their sites, and the body model fitted on a bounded sample of pages."""
+    texts = web_texts(spark, sf_dir)
+    pages = texts.filter("tbl = 'page_results'")
+    shared = body.with_shares(spread(pages if only_pages else texts), pages)
+    return shared, body.fit(shared.filter("tbl = 'page_results'"))
+
+
+def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.classify(*shared_pages(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_residue(spark, sf_dir).filter("residue is not null").select("tbl", "rec_id")
+
+
+def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.marked_lines(*shared_pages(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_lines(spark, sf_dir).filter("furniture > 0.5").select("tbl", "rec_id", "line_no")
+
+
+def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.marked_lines(*shared_pages(spark, sf_dir), what="bodies")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_positions(table(spark, sf_dir, "page_results"), "page_id", "url", "body_content")
 
