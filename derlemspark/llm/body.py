@@ -272,7 +272,8 @@ class BodyModel:
         begun = sk.rstrip(". ")
         i = bisect_left(self.whole_lines, begun)
         near = [w for w in self.whole_lines[i : i + 20] if w.startswith(begun)] if len(begun) > 2 else []
-        bare = line.rstrip().removesuffix("...") or line
+        bare = line.rstrip().removesuffix("...")
+        bare = bare if bare.strip() else line
         own = self._lexical_score(bare, skeleton(bare) or sk)
         return max([own, *(float(self.weights[_code("L:" + w)]) + own for w in near)])
 
