@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import body, bpe_automaton, leaks, pieces, reading, residue, site_lines
+from . import body, bpe_automaton, garbled, leaks, pieces, reading, residue, site_lines
 
 #: Vocabulary of problem 8; a parameter, never copied into the repository.
 VOCABULARY = os.environ.get("DERLEM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -47,6 +47,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_residue(spark, sf_dir).filter("residue is not null").select("tbl", "rec_id")
 
 
+def p4_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_words(spread(two_texts(spark, sf_dir)))[0]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_words(spark, sf_dir).select("tbl", "rec_id").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.restored(spread(two_texts(spark, sf_dir)))
+
+
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.marked_lines(*shared_pages(spark, sf_dir))
 
