@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import body, bpe_automaton, garbled, leaks, pieces, reading, residue, site_lines
+from . import addresses, body, bpe_automaton, garbled, leaks, pieces, reading, residue, site_lines
 
 #: Vocabulary of problem 8; a parameter, never copied into the repository.
 VOCABULARY = os.environ.get("DERLEM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -39,6 +39,21 @@ def shared_pages(spark: SparkSession, sf_dir: str, only_pages: bool = False) ->
     return shared, body.fit(shared.filter("tbl = 'page_results'"))
 
 
+def p1_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return addresses.same_place(table(spark, sf_dir, "birim_iletisim_tablosu"), "kayit_id", "adres", "telefon")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.pairs(*p1_places(spark, sf_dir), "kayit_id")
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kayit_id, class and number of linked classes of every record with an address."""
+    members, links = p1_places(spark, sf_dir)
+    ends = links.select(F.col("a").alias("class")).unionAll(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(ends, "class", "left").select(F.col("id").alias("kayit_id"), "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.classify(*shared_pages(spark, sf_dir))
 
@@ -110,4 +125,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and name != "p1_places"}
