@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
-from . import addresses, body, bpe_automaton, garbled, leaks, pieces, reading, residue, site_lines
+from ..session import reliable, spread, table
+from . import addresses, body, bpe_automaton, garbled, leaks, near_copies, pieces, reading, residue, site_lines
 
 #: Vocabulary of problem 8; a parameter, never copied into the repository.
 VOCABULARY = os.environ.get("DERLEM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -74,6 +76,42 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restored(spread(two_texts(spark, sf_dir)))
 
 
+def main_sketches(shared: DataFrame, model: body.BodyModel | None) -> DataFrame:
+    """near_copies rows of the main text of pages, cases of residue left out, in one pass over the texts."""
+    shipped = shared.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, titles = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            pages = body.Pages(texts, titles, batch.column(4).to_pylist(), batch.column(5).to_pylist(), [False] * len(texts))
+            p = shipped.value.furniture(pages) if shipped.value else np.zeros(len(pages.lines))
+            kinds = residue.verdicts(texts, titles, pages, p)
+            rows = near_copies.Rows()
+            for tbl, rec, main, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), body.main_bodies(texts, pages, p)[0], kinds):
+                if kind is None:
+                    rows.add(tbl, rec, main)
+            yield rows.batch()
+
+    return shared.select("tbl", "rec_id", "text", "title", "strong", "weak").mapInArrow(run, near_copies.Rows.SCHEMA)
+
+
+def p5_joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seeds = near_copies.sketched(spread(two_texts(spark, sf_dir).filter("tbl = 'test_seed'")))
+    base = reliable(main_sketches(*shared_pages(spark, sf_dir, only_pages=True)).unionAll(seeds))
+    return near_copies.similar_classes(base)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.pairs(*p5_joined(spark, sf_dir))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, rec_id, class and number of linked classes of every record that takes part."""
+    members, links = p5_joined(spark, sf_dir)
+    ends = links.select(F.col("a").alias("copy")).unionAll(links.select("b")).groupBy("copy").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(ends, "copy", "left").select("tbl", "rec_id", F.col("copy").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.marked_lines(*shared_pages(spark, sf_dir))
 
@@ -125,4 +163,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and name != "p1_places"}
+    inner = {"p1_places", "p5_joined"}
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and name not in inner}
