@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, chunks, corpus, pages, questions, retrieval, urls  # noqa: F401
+from . import answers, base, chunks, corpus, crawl, pages, questions, retrieval, state, urls  # noqa: F401
 
 
 def queries() -> dict:

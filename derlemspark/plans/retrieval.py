@@ -65,9 +65,9 @@ def rrf_hybrid(t):
     return fused(t)
 
 
-@query(f"WITH {VEC}, {BM} SELECT query_id, count(*) AS overlap FROM (SELECT query_id, vec_id AS id FROM vr WHERE rank <= 10) JOIN (SELECT query_id, doc_id AS id FROM kr WHERE rank <= 10) USING (query_id, id) GROUP BY query_id")
+@query(f"WITH {VEC}, {BM} SELECT query_id, count(*) AS overlap FROM (SELECT query_id, vec_id AS id FROM vr WHERE rank <= 100) JOIN (SELECT query_id, doc_id AS id FROM kr WHERE rank <= 100) USING (query_id, id) GROUP BY query_id")
 def leg_overlap(t):
-    both = vector_leg(t, 10).select("query_id", F.col("vec_id").alias("id")).intersect(keyword_leg(t, 10).select("query_id", F.col("doc_id").alias("id")))
+    both = vector_leg(t, 100).select("query_id", F.col("vec_id").alias("id")).intersect(keyword_leg(t, 100).select("query_id", F.col("doc_id").alias("id")))
     return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("overlap"))
 
 
