@@ -92,6 +92,10 @@ def seed_hits(docs: DataFrame, id_col: str, text_col: str, out_id: str, prefix:
             at, h = np.concatenate(where), np.concatenate(values)
             around = short[at[:, None] + np.arange(-AROUND, SPAN + AROUND)] if len(at) else np.zeros((0, SPAN + 2 * AROUND), np.int32)
             size = SPAN + 2 * AROUND
+            # a repetitive text has the same window with the same words around it many times: one row for each
+            key = np.ascontiguousarray(np.column_stack([rows[at], h.view(np.int64), around.astype(np.int64)]))
+            kept = np.sort(np.unique(key.view(f"V{key.shape[1] * 8}").reshape(-1), return_index=True)[1]) if len(at) else np.arange(0)
+            at, h, around = at[kept], h[kept], around[kept]
             first = np.maximum.accumulate(np.where(np.r_[True, rows[1:] != rows[:-1]], np.arange(len(rows)), 0))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -117,7 +121,7 @@ def hash_filter(hits: DataFrame) -> np.ndarray:
 
 
 def overlaps(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """doc, item, hits, best (most equal words of the 24 around a hit), exact (at least eight equal consecutive words).
+    """doc, item, hits (pairs of different windows), best (most equal words of the 24 around a hit), exact (at least eight equal consecutive words).
 
     One row for each document and item that share a seed. Null and short texts share none.
     """
