@@ -25,8 +25,10 @@ from .words import WordHashes, lower_words, multipliers
 
 #: Words in a shingle and least number of words of a text that takes part.
 WORDS, MIN_WORDS = 3, 20
-#: Similarity to reach; sketch coordinates; trees and coordinates by which a node branches.
+#: Similarity to reach; sketch coordinates; trees and coordinates by which a root branches.
 SIMILARITY, COORDINATES, TREES, BRANCHES = 0.5, 48, 2, 3
+#: Coordinates by which a large node branches, out of a pool of its level; no level's pool has coordinates of another or of the roots.
+CHILDREN, POOL = 4, 8
 #: Nodes up to LEAF records are compared exhaustively; deeper than DEPTH a node is compared block by block.
 LEAF, DEPTH, BLOCK = 128, 3, 64
 #: A sketch keeps this many bits of each minwise value, two values in a byte.
@@ -77,6 +79,12 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out
 
 
+def branch_values(values: np.ndarray) -> bytes:
+    """Two bytes of the minwise values of the coordinates after the roots', POOL for each level that branches."""
+    first = TREES * BRANCHES
+    return values[first : first + DEPTH * POOL].astype(np.uint16).tobytes()
+
+
 def root_nodes(values: np.ndarray, salt: int) -> np.ndarray:
     """Names of the nodes below the roots: TREES x BRANCHES coordinates with their values."""
     n = TREES * BRANCHES
@@ -85,13 +93,13 @@ def root_nodes(values: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Rows:
-    """Columns of the records of a batch: tbl, rec_id, copy, nodes, sketch, triples."""
+    """Columns of the records of a batch: tbl, rec_id, copy, nodes, sketch, branch, triples."""
 
-    SCHEMA = "tbl string, rec_id bigint, copy bigint, nodes array<bigint>, sketch binary, triples binary"
-    NAMES = ["tbl", "rec_id", "copy", "nodes", "sketch", "triples"]
+    SCHEMA = "tbl string, rec_id bigint, copy bigint, nodes array<bigint>, sketch binary, branch binary, triples binary"
+    NAMES = ["tbl", "rec_id", "copy", "nodes", "sketch", "branch", "triples"]
 
     def __init__(self):
-        self.columns = [[] for _ in range(6)]
+        self.columns = [[] for _ in range(7)]
 
     def add(self, tbl: str, rec: int, text: str | None) -> None:
         triples = shingles(text)
@@ -100,11 +108,11 @@ class Rows:
         raw, values = triples.tobytes(), sketch(triples)
         salt = xxhash.xxh64_intdigest(tbl) >> 1
         copy = xxhash.xxh64_intdigest(raw, salt & 0xFFFFFFFF) - (1 << 63)
-        for column, value in zip(self.columns, (tbl, rec, copy, root_nodes(values, salt), packed(values), raw)):
+        for column, value in zip(self.columns, (tbl, rec, copy, root_nodes(values, salt), packed(values), branch_values(values), raw)):
             column.append(value)
 
     def batch(self) -> pa.RecordBatch:
-        types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, types)], names=self.NAMES)
 
 
@@ -176,8 +184,8 @@ def grouped(rows: DataFrame, by: str) -> DataFrame:
 
 def candidates(base: DataFrame, similarity: float = SIMILARITY, leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """a, b of the pairs of copies that meet in a leaf of some tree with close sketches."""
-    copies = reliable(base.groupBy("copy").agg(F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")))
-    level, found, done = copies.select(F.explode("nodes").alias("node"), "copy", "sketch"), [], 0
+    copies = reliable(base.groupBy("copy").agg(F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("branch").alias("branch")))
+    level, found, done = copies.select(F.explode("nodes").alias("node"), "copy", "sketch", "branch"), [], 0
     while True:
         heavy = reliable(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf))
         if heavy.isEmpty():
@@ -189,17 +197,17 @@ def candidates(base: DataFrame, similarity: float = SIMILARITY, leaf: int = LEAF
             found.append(compared(grouped(blocks(level, heavy, block), "pair"), similarity))
             break
         hot = guarded_join(level, heavy.select("node"), ["node"], "left_semi")
-        level = hot.select(F.explode(F.array(*[child(k) for k in range(BRANCHES)])).alias("node"), "copy", "sketch")
+        level = hot.select(F.explode(F.array(*[child(k, done) for k in range(CHILDREN)])).alias("node"), "copy", "sketch", "branch")
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
     return out.distinct()
 
 
-def child(k: int) -> Column:
-    """Name of the node below a node by its k-th chosen coordinate and the record's value there."""
-    at = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES // 2)).cast("int")
-    return F.xxhash64("node", F.lit(k), F.substring("sketch", at + 1, F.lit(1)))
+def child(k: int, level: int) -> Column:
+    """Name of the node below a node by its k-th chosen coordinate of the level's pool and the record's value there."""
+    at = (F.pmod(F.xxhash64("node"), F.lit(POOL)) + k * (POOL // CHILDREN)) % POOL + (level - 1) % DEPTH * POOL
+    return F.xxhash64("node", F.lit(k), F.substring("branch", (2 * at + 1).cast("int"), F.lit(2)))
 
 
 def blocks(level: DataFrame, heavy: DataFrame, block: int) -> DataFrame:

@@ -91,6 +91,21 @@ def test_chosen_path_finds_all_pairs(spark):
         assert ("t", 0, 900) in got
 
 
+@pytest.mark.parametrize("sizes", ({}, {"leaf": 16}))
+def test_large_nodes_keep_pairs_at_the_threshold(spark, sizes):
+    """Records with a long passage in common meet in large nodes only; pairs just over the threshold outlast their branching."""
+    rng = random.Random(17)
+    common, texts = [f"o{i}" for i in range(72)], []
+    for _ in range(200):
+        shared = [f"s{rng.randint(0, 10**6)}" for _ in range(25)]
+        texts += [("t", len(texts) + k, " ".join(common + shared + [f"s{rng.randint(0, 10**6)}" for _ in range(42)])) for k in range(2)]
+    sets = [set(near_copies.shingles(x).tolist()) for _, _, x in texts]
+    wanted = {("t", 2 * i, 2 * i + 1) for i in range(200) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.5 * len(sets[2 * i] | sets[2 * i + 1])}
+    base = near_copies.sketched(spark.createDataFrame(texts, "tbl string, rec_id bigint, text string")).cache()
+    got = {tuple(r) for r in near_copies.pairs(*near_copies.similar_classes(base, **sizes)).collect()}
+    assert len(wanted) == 200 and got == got & wanted and len(got) >= 0.97 * len(wanted)
+
+
 def test_repeated_lines_by_hand(spark):
     assert site_lines.normal_line("  a  b 12.03 ") == "a b 0.0"
     rows = [(i, f"https://WWW.Site.example/{i}", f"Menü {i}\nöz {'abcdefgh'[i]}\n\nson") for i in range(8)] + [(8, None, "Menü 9"), (9, "https://site.example/x", None)]
