@@ -53,13 +53,13 @@ def redact_paths(t):
 
 @query()
 def greedy_source_dedup(t):
-    """Kept sources of each unit's list of up to ten pages in page order."""
+    """Kept sources of each list of ten pages: every unit's pages in page order, cut into consecutive lists."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("birim_id").orderBy("page_id")
-    top = t.page_results.select("birim_id", "page_id", "url", "title", F.md5("body_content").alias("hash")).withColumn("rn", F.row_number().over(w)).filter("rn <= 10")
-    lists = top.groupBy("birim_id").agg(F.sort_array(F.collect_list(F.struct(F.col("page_id").alias("id"), "url", "hash", "title"))).alias("s"))  # at most ten each
-    return lists.select("birim_id", A.greedy_dedup(F.col("s")).alias("kept"))
+    pages = t.page_results.select("birim_id", "page_id", "url", "title", F.md5("body_content").alias("hash")).withColumn("list_no", F.floor((F.row_number().over(w) - 1) / 10).cast("int"))
+    lists = pages.groupBy("birim_id", "list_no").agg(F.sort_array(F.collect_list(F.struct(F.col("page_id").alias("id"), "url", "hash", "title"))).alias("s"))  # at most ten each
+    return lists.select("birim_id", "list_no", A.greedy_dedup(F.col("s")).alias("kept"))
 
 
 @query(f"SELECT page_id, CASE WHEN dep IS NULL OR contains({fold_sql('a')}, array_to_string(string_split({fold_sql('dep')}, ' ')[1:2], ' ')) THEN length(a) ELSE length(a) + length(dep) + 2 END AS chars FROM {PAIR_SQL}")

@@ -132,3 +132,12 @@ def test_top_cosine_ties_and_nulls(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in retrieval.top_cosine(v, v.filter("vec_id = 1"), 2).orderBy("rank").collect()] == [(1, 1), (1, 2)]
     assert retrieval.top_cosine(v.limit(0), v.limit(0), 2).count() == 0
+
+
+def test_source_lists_cover_every_page(spark, tmp_path):
+    from derlemspark.plans import registry
+
+    rows = [(i, 1 if i < 27 else 2, f"u{i % 14}", f"t{i}", f"b{i}") for i in range(31)]
+    spark.createDataFrame(rows, "page_id bigint, birim_id int, url string, title string, body_content string").write.parquet(str(tmp_path / "page_results.parquet"))
+    got = {(r["birim_id"], r["list_no"]): r["kept"] for r in registry.queries()["greedy_source_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): list(range(10)), (1, 1): list(range(10, 20)), (1, 2): list(range(20, 27)), (2, 0): [27, 28, 29, 30]}
