@@ -15,4 +15,4 @@ def crawl_frontier(t):
     dst = F.regexp_extract("url", r"[?&]id=([0-9]+)", 1)
     links = t.page_results.filter((dst != "") & F.col("birim_id").isNotNull()).select(F.col("birim_id").alias("src"), F.nullif(dst, F.lit("")).cast("int").alias("dst")).distinct()
     seeds = links.agg(F.min("src").alias("node"))
-    return crawl.frontier(links, seeds, 12)
+    return crawl.frontier(links, seeds)

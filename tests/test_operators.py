@@ -141,3 +141,10 @@ def test_source_lists_cover_every_page(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, birim_id int, url string, title string, body_content string").write.parquet(str(tmp_path / "page_results.parquet"))
     got = {(r["birim_id"], r["list_no"]): r["kept"] for r in registry.queries()["greedy_source_dedup"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0): list(range(10)), (1, 1): list(range(10, 20)), (1, 2): list(range(20, 27)), (2, 0): [27, 28, 29, 30]}
+
+
+def test_crawl_goes_on_until_the_frontier_is_empty(spark, tmp_path):
+    from derlemspark.plans import registry
+
+    spark.createDataFrame([(i, f"https://x.example/?id={i + 1}") for i in range(1, 16)], "birim_id int, url string").coalesce(1).write.parquet(str(tmp_path / "page_results.parquet"))
+    assert sorted(map(tuple, registry.queries()["crawl_frontier"](spark, str(tmp_path)).collect())) == [(i + 1, i) for i in range(16)]
