@@ -137,15 +137,19 @@ def components(records: DataFrame, id_col: str, address_col: str, phone_col: str
     return records.select(id_col, address_col, phone_col).mapInArrow(run, f"id {kind}, phone string, street string, kind string, door string, quarter string, post string, names array<string>")
 
 
+def left_out(word: str) -> Column:
+    """A word and the words with one of its letters left out."""
+    places = F.sequence(F.lit(1), F.length(word))
+    return F.array_distinct(F.concat(F.array(word), F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+
+
 def corrections(names: DataFrame) -> DataFrame:
     """word -> right for rare words one edit away from a word CORRECTS times as frequent. names: column word, one row for each use.
 
     Candidates meet in the words with one letter left out, so no word is compared with all others.
     """
     counts = reliable(names.filter("word is not null and length(word) >= 4 and not word rlike '^[0-9]'").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    places = F.sequence(F.lit(1), F.length("word"))
-    keys = F.array_distinct(F.concat(F.array("word"), F.transform(places, lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))))
-    spread = counts.select("word", "n", F.explode(keys).alias("key"))
+    spread = counts.select("word", "n", F.explode(left_out("word")).alias("key"))
     right = spread.filter(F.col("n") >= MIN_NAME).select(F.col("word").alias("right"), F.col("n").alias("m"), "key")
     met = spread.join(right, "key").filter((F.col("m") >= CORRECTS * F.col("n")) & (F.col("word") != F.col("right")) & (F.levenshtein("word", "right") <= 2))
 
@@ -260,8 +264,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
 def linked_classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (id, class) and links (a, b, weight) between classes of records with the same components.
 
-    Pairs of classes come from three blocking keys: street sound and door, street sound and postcode, street
-    sound and district. Copies are collapsed before, so a hot place is a few classes however many rows it has.
+    Pairs of classes come from four blocking keys: street sound and door, street sound and postcode, street
+    sound and district, and door with the street or the street with one letter left out. The last one alone has
+    every pair that accepted() may take: equal doors and streets at most one edit apart. Copies are collapsed before, so a hot place is a few classes however many rows it has.
     """
     whole = F.xxhash64(*[F.coalesce(F.col(f), F.lit("-")) for f in FIELDS])
     parts = parts.withColumn("class", whole)
@@ -273,7 +278,12 @@ def linked_classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         b = a.select(*[F.col(c).alias(f"{c}_b") for c in a.columns], *keys)
         return a.join(b, list(keys)).filter(F.col("class") < F.col("class_b")).select(*a.columns, *[f"{c}_b" for c in a.columns])
 
-    pairs = block("sound", "door").unionByName(block("sound", "post")).unionByName(block("sound", "district")).dropDuplicates(["class", "class_b"])
+    def one_letter() -> DataFrame:
+        keyed = classes.filter("door is not null and length(street) >= 5 and not street rlike '[0-9]'").withColumn("key", F.explode(left_out("street")))
+        b = keyed.select(*[F.col(c).alias(f"{c}_b") for c in classes.columns], "key", "door")
+        return keyed.join(b, ["key", "door"]).filter(F.col("class") < F.col("class_b")).select(*classes.columns, *[f"{c}_b" for c in classes.columns])
+
+    pairs = block("sound", "door").unionByName(block("sound", "post")).unionByName(block("sound", "district")).unionByName(one_letter()).dropDuplicates(["class", "class_b"])
     marked = reliable(pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b"), *[levels(f, f"{f}_b").alias(f"l_{f}") for f in FIELDS]))
     names = [f"l_{f}" for f in FIELDS]
     patterns = [(tuple(r[:-1]), r[-1]) for r in marked.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 4 ** 7 rows

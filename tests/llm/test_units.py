@@ -168,6 +168,15 @@ def test_addresses_parse_and_pair(spark):
     assert addresses.near("halicilar", "hlaicilar") and not addresses.near("demirkapi", "demirkaya")
 
 
+def test_streets_one_consonant_apart_are_paired(spark):
+    """Each name stands once or twice, so nothing corrects it, and the edit changes its sound."""
+    names = ["halicilar", "demirkapi", "gulbahce", "yenikoy", "taskopru", "karaagac", "cinarli", "degirmen"]
+    rows = [(2 * i + k, f"Barış Mah. {x} Sok. No {i + 3} 9746{i} Akçasu", "") for i, x in enumerate(names) for k, x in enumerate((x, "v" + x[1:]))]
+    df = spark.createDataFrame(rows, "id bigint, address string, phone string")
+    got = {tuple(r) for r in addresses.pairs(*addresses.same_place(df, "id", "address", "phone"), "id").collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(8)}
+
+
 def test_grades_and_levels():
     counts = np.array([[9.0, 1, 0, 0], [0, 0, 1, 9], [5, 5, 5, 5]])
     g = reading.grades_from(counts, np.array([10.0, 10, 10, 10]))
