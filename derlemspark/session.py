@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # written checkpoints are deleted when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reliable(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is unset (tests, a single machine) a temporary folder is used.
+    Without that setting a local session (tests, a single machine) gets a temporary folder; on a cluster,
+    where executors share no such folder, it is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="derlem-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -84,6 +84,23 @@ def test_guarded_join_is_the_same_beyond_the_bound(spark):
         assert sorted(map(tuple, wide.collect()), key=str) == sorted(map(tuple, narrow.collect()), key=str)
 
 
+def test_hot_join_meets_every_pair_once(spark):
+    rows = [(k, i) for k, n in ((1, 70), (2, 3), (3, 25), (None, 4)) for i in range(n)]
+    left = spark.createDataFrame(rows, "k int, a int")
+    right = spark.createDataFrame([(k, i + 1000) for k, i in rows if k != 3] + [(3, 1)] * 2, "k int, b int")
+    plain = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    for hot in (1, 7, 30, 10**6):
+        assert sorted(map(tuple, joins.hot_join(left, right, ["k"], hot_rows=hot).collect())) == plain
+    empty = joins.hot_join(left.limit(0), right, ["k"], hot_rows=7)
+    assert empty.columns == ["k", "a", "b"] and empty.count() == 0
+
+
+def test_measured_counts_rows_and_bytes(spark):
+    side = spark.createDataFrame([(1, "abc", [1, 2]), (2, None, None)], "k int, s string, a array<bigint>")
+    assert joins.measured(side)[1:] == (2, (16 + 19 + 32) + (16 + 16 + 16))
+    assert joins.measured(side.limit(0))[1:] == (0, 0)
+
+
 def test_upserts_changes_and_versions(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     batch = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "id int, v string")
