@@ -38,7 +38,7 @@ def shared_pages(spark: SparkSession, sf_dir: str, only_pages: bool = False) ->
     texts = web_texts(spark, sf_dir)
     pages = texts.filter("tbl = 'page_results'")
     shared = body.with_shares(spread(pages if only_pages else texts), pages)
-    return shared, body.fit(shared.filter("tbl = 'page_results'"))
+    return shared, body.fit(shared.filter("tbl = 'page_results'"), pages.count())
 
 
 def p1_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -81,18 +81,15 @@ def main_sketches(shared: DataFrame, model: body.BodyModel | None) -> DataFrame:
     shipped = shared.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in body.parts_of(batches):
             texts, titles = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            pages = body.Pages(texts, titles, batch.column(4).to_pylist(), batch.column(5).to_pylist(), [False] * len(texts))
-            p = shipped.value.furniture(pages) if shipped.value else np.zeros(len(pages.lines))
+            pages = body.Pages(texts, titles, batch.column(4), batch.column(5), [False] * len(texts))
+            p = shipped.value.furniture(pages) if shipped.value else np.zeros(len(pages.ids))
             kinds = residue.verdicts(texts, titles, pages, p)
-            rows = near_copies.Rows()
-            for tbl, rec, main, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), body.main_bodies(texts, pages, p)[0], kinds):
-                if kind is None:
-                    rows.add(tbl, rec, main)
-            yield rows.batch()
+            mains = [None if kind else main for main, kind in zip(body.main_bodies(texts, pages, p)[0], kinds)]
+            yield from near_copies.record_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), mains)
 
-    return shared.select("tbl", "rec_id", "text", "title", "strong", "weak").mapInArrow(run, near_copies.Rows.SCHEMA)
+    return shared.select("tbl", "rec_id", "text", "title", "strong", "weak").mapInArrow(run, near_copies.SCHEMA)
 
 
 def p5_joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

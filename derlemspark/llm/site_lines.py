@@ -94,6 +94,11 @@ def repeated_lines(docs: DataFrame, min_rows: int = MIN_ROWS, min_share: float =
     # one exchange: the row count of a site travels as the line with a null hash
     marked = F.array_distinct(F.concat(F.array(F.lit(None).cast("bigint")), "hashes"))
     counts = docs.filter("site is not null and hashes is not null").select("site", F.explode(marked).alias("line_hash")).groupBy("site", "line_hash").agg(F.count(F.lit(1)).alias("n"))
+    return repeated_counts(counts, min_rows, min_share)
+
+
+def repeated_counts(counts: DataFrame, min_rows: int, min_share: float) -> DataFrame:
+    """site, line_hash, n, site_rows of the repeated lines, from rows counted by site and hash; a null hash counts the site's rows."""
     kept = reliable(counts.filter(F.col("line_hash").isNull() | (F.col("n") >= min_rows)))
     per_site = kept.filter("line_hash is null").select("site", F.col("n").alias("site_rows"))
     lines = guarded_join(kept.filter("line_hash is not null"), per_site, ["site"])

@@ -91,7 +91,7 @@ def test_chosen_path_finds_all_pairs(spark):
         assert ("t", 0, 900) in got
 
 
-@pytest.mark.parametrize("sizes", ({}, {"leaf": 16}))
+@pytest.mark.parametrize("sizes", ({}, {"leaf": 128}, {"leaf": 16}))
 def test_large_nodes_keep_pairs_at_the_threshold(spark, sizes):
     """Records with a long passage in common meet in large nodes only; pairs just over the threshold outlast their branching."""
     rng = random.Random(17)
@@ -112,11 +112,81 @@ def test_roots_join_pairs_at_the_threshold():
     missed = 0
     for _ in range(3000):
         x = rng.integers(0, 1 << 32, 120).astype(np.uint32)
-        a, b = (near_copies.root_nodes(near_copies.sketch(s), 0) for s in (x[:90], x[30:]))
+        a, b = (near_copies.root_nodes(near_copies.sketch(s)[None, :], 0) for s in (x[:90], x[30:]))
         missed += not (a == b).any()
     assert missed <= 15
 
 
+def test_hashed_words_and_triples_are_those_of_the_text():
+    """Whole batches at once give each text the words it has by itself, whatever stands beside it."""
+    rng = random.Random(29)
+    pool = ["İstanbul", "ışık", "a_b", "x1", "日本", "é", "\u0307", "ÇAĞ", "...", "\n", "söz", "SÖZ", ""]
+    texts = ["", "bir", *(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(60)), "uzun söz " * 4000]
+    hashes, owner = near_copies.word_hashes(texts)
+    seen: dict[str, int] = {}
+    for i, text in enumerate(texts):
+        mine = words.lower_words(text)
+        assert len(mine) == (owner == i).sum()
+        for word, h in zip(mine, hashes[owner == i].tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    kept, offsets, triples = near_copies.shingle_sets(texts)
+    for i, a, b in zip(kept.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        mine = words.lower_words(texts[i])
+        assert len(mine) >= near_copies.MIN_WORDS and b - a == len(set(zip(mine, mine[1:], mine[2:])))
+        assert (triples[a:b] == near_copies.shingles(texts[i])).all()
+    assert set(kept.tolist()) == {i for i, t in enumerate(texts) if len(words.lower_words(t)) >= near_copies.MIN_WORDS}
+
+
+def test_sketches_agree_as_their_coordinates_do():
+    values = np.random.default_rng(31).integers(0, 3, (40, near_copies.COORDINATES)).astype(np.uint64)
+    raw = near_copies.packed(values).view(np.uint64)
+    assert raw.shape == (40, len(near_copies.SKETCH))
+    starts, sizes = np.array([0, 1, 4, 4, 24]), np.array([1, 3, 0, 20, 16])
+    got = set(zip(*(x.tolist() for x in near_copies.close_pairs(raw, starts, sizes, 18))))
+    wanted = {(i, j) for s, n in zip(starts, sizes) for i in range(s, s + n) for j in range(i + 1, s + n) if (values[i] == values[j]).sum() >= 18}
+    assert got == wanted and wanted
+
+
+@pytest.mark.parametrize("groups,size,sizes", ((6, 300, {"leaf": 128}), (2, 1000, {})))
+def test_large_groups_of_similar_texts_lose_no_link(spark, groups, size, sizes):
+    """Groups beyond the size of a leaf, all records of one similar to each other around the threshold; the second case has production parameters."""
+    rng = random.Random(37)
+    texts, truth = [], {}
+    for g in range(groups):
+        base, sets = [f"g{g}w{i}" for i in range(110)], []
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.sample(range(110), rng.choice((4, 6, 8, 10))):
+                copy[at] = f"x{rng.randint(0, 10**7)}"
+            texts.append(("t", len(texts), " ".join(copy)))
+            sets.append(near_copies.shingles(texts[-1][2]))
+        number = {x: i for i, x in enumerate(np.unique(np.concatenate(sets)).tolist())}
+        has = np.zeros((size, len(number)), dtype=np.float32)
+        for i, s in enumerate(sets):
+            has[i, [number[x] for x in s.tolist()]] = 1
+        common, n = has @ has.T, has.sum(1)
+        jaccard = common / (n[:, None] + n[None, :] - common)
+        truth |= {(g * size + i, g * size + j): float(jaccard[i, j]) for i, j in zip(*np.triu_indices(size, 1)) if jaccard[i, j] >= 0.5}
+    base = near_copies.sketched(spark.createDataFrame(texts, "tbl string, rec_id bigint, text string")).cache()
+    found = near_copies.pairs(*near_copies.similar_classes(base, **sizes)).toPandas()
+    got = set(zip(found.rec_id_a.tolist(), found.rec_id_b.tolist()))
+    for low, high in ((0.5, 0.55), (0.55, 0.6), (0.6, 1.01)):
+        wanted = {p for p, s in truth.items() if low <= s < high}
+        assert len(wanted) > 1000 and len(wanted & got) >= 0.98 * len(wanted), (low, len(wanted), len(wanted & got))
+    assert got <= set(truth)
+
+
+def test_copies_are_dealt_to_cells(spark):
+    """A class of many copies, and links to it, give all pairs whether or not the class is dealt to cells."""
+    members = spark.createDataFrame([("t", i, 1) for i in range(50)] + [("t", 100 + i, 2) for i in range(7)] + [("t", 200, 3)], "tbl string, rec_id bigint, copy bigint")
+    links = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
+    wanted = {(i, j) for i in range(50) for j in range(i + 1, 50)} | {(100 + i, 100 + j) for i in range(7) for j in range(i + 1, 7)} | {(i, 100 + j) for i in range(50) for j in range(7)} | {(i, 200) for i in range(50)}
+    for hot in (5, 10**6):
+        got = [(r[1], r[2]) for r in near_copies.pairs(members, links, hot_rows=hot).collect()]
+        assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_repeated_lines_by_hand(spark):
     assert site_lines.normal_line("  a  b 12.03 ") == "a b 0.0"
     rows = [(i, f"https://WWW.Site.example/{i}", f"Menü {i}\nöz {'abcdefgh'[i]}\n\nson") for i in range(8)] + [(8, None, "Menü 9"), (9, "https://site.example/x", None)]
@@ -138,6 +208,20 @@ def test_mapping_is_learned_from_bigrams():
     assert garbled.SUSPECT.search("ba?vuru") and garbled.SUSPECT.search("sınýf")
 
 
+def test_long_notices_count_by_their_sentences():
+    long = "HTTP Error 404. " + "Aradığınız sayfa bulunamadı ya da taşınmış olabilir. " * 6
+    assert len(long) > residue.NOTICE_CHARS and residue.page_residue([long], None) == "error"
+    assert residue.page_residue(["Ders notları bu sayfadan indirilebilir ve herkese açıktır. " * 6 + "Aradığınız sayfa bulunamadı."], None) is None
+
+
+def test_needed_strings_never_hide_a_notice():
+    for kind, strings, pattern in residue.RULES:
+        for line in ("Sayfa bulunamadı", "HTTP Error 404", "Yakında...", "Bu sayfa henüz hazır değil", "test sayfası 3", "Lütfen bekleyin, yükleniyor", "at Foo.bar(", "nginx/1.2", "deneme metin", "(hata 404)"):
+            low = residue.lowered(line)
+            assert not pattern.search(low) or not strings or any(x in low for x in strings), (pattern.pattern, line)
+    assert residue.residue_kind("(hata 404)") == "error" and residue.residue_kind("Yeni paragraf") == "filler"
+
+
 def test_placeholders_and_notices():
     for text in ("Yer - {{ ad }}", "Sayın ${ad_soyad},", "ara %%tarih%% son", "[INSERT ad]", "__ad__ ile", "Tarih\t<son_basvuru>", "@Model.ad", "undefined undefined", "#ad_soyad#"):
         assert residue.placeholders(text), text
