@@ -208,6 +208,32 @@ def test_mapping_is_learned_from_bigrams():
     assert garbled.SUSPECT.search("ba?vuru") and garbled.SUSPECT.search("sınýf")
 
 
+def test_restored_texts_are_the_planted_originals(spark):
+    """Rows garbled by several swaps, with names and signs that no clean row has, come back as they were."""
+    words_ = "açık kapalı öğrenci sınav başvuru yardım kayıt ışık alış üç iç öğretim güz dönemi ücret çalışma Üniversitesi İletişim değişiklik süre".split()
+    rng = random.Random(41)
+    clean = [("t", i, " ".join(rng.choices(words_, k=12))) for i in range(300)]
+    originals = {1000 + i: " ".join(rng.choices(words_, k=14)) + " Yenipınarğü • son – “söz” üç" for i in range(60)}
+    swaps = [lambda t: t.encode().decode("cp1252"), lambda t: t.encode().decode("latin-1"), lambda t: t.encode("cp1254").decode("latin-1"), lambda t: t.encode().decode("mac_roman")]
+    garbled_rows = {i: swaps[i % 4](t) if i % 4 else t.replace("İ", "I").encode().decode("cp1252", "ignore") for i, t in originals.items()}
+    df = spark.createDataFrame(clean + [("t", i, t) for i, t in garbled_rows.items()] + [("t", 5000, None), ("t", 5001, ""), ("t", 5002, "été à la plage 日本 üç")], "tbl string, rec_id bigint, text string")
+    got = {r["rec_id"]: r["text"] for r in garbled.restored(df).collect()}
+    assert set(got) == set(originals)
+    for i, text in got.items():
+        if i % 4:
+            assert text == originals[i], (garbled_rows[i], text)
+
+
+def test_short_words_and_long_runs_are_read_part_by_part():
+    mapping = {("s", "Ã¼"): {"ü": 1.0}, ("s", "Ã§"): {"ç": 0.9}}
+    assert garbled.chance(mapping, "s", "Ã¼Ã§", "üç") == pytest.approx(0.9)
+    assert garbled.chance(mapping, "s", "Ã¼Ã§" * 20, "üç" * 20) == pytest.approx(0.9**20)
+    assert garbled.chance(mapping, "s", "Ã¼x", "üç") == 0.0
+    assert "Ã¼Ã§" in garbled.suspects("son Ã¼Ã§ yıl") and garbled.suspects("日" * 5000) == {"日" * 5000}
+    assert garbled.best_reading({"Ã¼": ("ü", 1.0), "Ã§": ("ç", 0.9)}, "Ã¼Ã§") == "üç"
+    assert garbled.best_reading({"Ã¼": ("ü", 1.0)}, "Ã¼Ã§") is None and garbled.best_reading({}, "Ã") is None
+
+
 def test_long_notices_count_by_their_sentences():
     long = "HTTP Error 404. " + "Aradığınız sayfa bulunamadı ya da taşınmış olabilir. " * 6
     assert len(long) > residue.NOTICE_CHARS and residue.page_residue([long], None) == "error"
