@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable
 from .words import lower_words
 
-#: Bounds of the fit: labelled documents used, and words that get a grade (the most frequent in them).
-MAX_LABELLED, MAX_WORDS = 20_000, 60_000
+#: Bound of the fit: labelled documents used. It bounds the words that get a grade as well; every word of MIN_DOCS of them gets one.
+MAX_LABELLED = 20_000
 MIN_DOCS = 3
 LEVELS = (1, 2, 3, 4)
 QUANTILES = (0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95)
@@ -103,11 +104,11 @@ class ReadingModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ReadingModel | None:
-    """The model, or None if no labelled document has text. Counts come to the driver for MAX_WORDS words at most."""
-    sample = labelled_sample(docs, labels)
+    """The model, or None if no labelled document has text. Counts come to the driver for the words of the bounded sample."""
+    sample = reliable(labelled_sample(docs, labels))
     words = _distinct_words(sample)
     cells = [F.count_if((F.col("level") == v) & (F.col("fold") == f)).alias(f"c{f}{v}") for f in (0, 1) for v in LEVELS]
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *cells).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(MAX_WORDS).toPandas()
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *cells).filter(F.col("n") >= MIN_DOCS).orderBy("word").toPandas()
     sized = {(r[0], r[1]): r[2] for r in sample.groupBy("fold", "level").count().collect()}
     if not len(top) or not sized:
         return None
