@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import guarded_join
+from ..operators.joins import guarded_join, hot_join
 from ..session import reliable
 
 # How Turkish addresses name the kinds of their parts (folded to ASCII).
@@ -116,11 +116,11 @@ FIELDS = ("street", "kind", "door", "quarter", "district", "province", "post")
 CORRECTS, MIN_NAME = 3, 3
 #: Share of the rows of a postcode that must agree on quarter and district for it to fill them in.
 POST_SHARE = 0.8
-ROUNDS, THRESHOLD = 40, 0.5
+ROUNDS, THRESHOLD, PRIOR = 40, 0.5, 0.1
 
 
 def components(records: DataFrame, id_col: str, address_col: str, phone_col: str) -> DataFrame:
-    """id, phone and the components of each record with an address."""
+    """id, phone and the components of each record with an address; its street may be null."""
     kind = records.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def components(records: DataFrame, id_col: str, address_col: str, phone_col: str
             ids, rows = [], []
             for rec, address, phone in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 p = parse(address)
-                if p and p["street"]:
+                if p:
                     ids.append(rec)
                     rows.append((phone_key(phone), p["street"], p["kind"], p["door"], p["quarter"], p["post"], p["names"]))
             columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(6)] + [pa.array([r[6] for r in rows], pa.list_(pa.string()))]
@@ -231,31 +231,40 @@ def sound(street: Column) -> Column:
 
 
 def levels(a: str, b: str) -> Column:
-    """2 equal, 1 one edit apart, 0 different, 3 missing on a side."""
+    """2 equal, 1 one edit apart (or two letters that changed places), 0 different, 3 missing on a side."""
     x, y = F.col(a), F.col(b)
-    close = (F.levenshtein(x, y) <= 1) & (F.least(F.length(x), F.length(y)) >= 5) & ~x.rlike("[0-9]")
+
+    def letters(z: Column) -> Column:
+        return F.array_sort(F.split(z, ""))
+
+    edits = F.levenshtein(x, y)
+    close = ((edits <= 1) | ((edits == 2) & (letters(x) == letters(y)))) & (F.least(F.length(x), F.length(y)) >= 5) & ~x.rlike("[0-9]")
     return F.when(x.isNull() | y.isNull(), 3).when(x == y, 2).when(close, 1).otherwise(0)
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior of a match for each pattern of agreement levels, by expectation-maximization with missing as a level of its own."""
+    """Posterior of a match for each pattern of agreement levels, by expectation-maximization with missing as a level of its own.
+
+    Pairs that contradict each other are known to be none: they teach how often each level agrees by chance.
+    """
     if not patterns:
         return {}
     width = len(patterns[0][0])
     share = 0.2
-    m = [{2: 0.9, 1: 0.05, 0: 0.03, 3: 0.1} for _ in range(width)]
-    u = [{2: 0.2, 1: 0.05, 0: 0.7, 3: 0.1} for _ in range(width)]
+    first_m, first_u = {2: 0.9, 1: 0.05, 0: 0.03, 3: 0.1}, {2: 0.2, 1: 0.05, 0: 0.7, 3: 0.1}
+    m, u = [dict(first_m) for _ in range(width)], [dict(first_u) for _ in range(width)]
+    total = sum(n for _, n in patterns)
     post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for p, _n in patterns:
             odds = math.log(share / (1 - share)) + sum(math.log(m[k][v] / u[k][v]) for k, v in enumerate(p))
-            post[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-        total = sum(n for _, n in patterns)
+            post[p] = 0.0 if contradicts(p) else 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
         matched = sum(n * post[p] for p, n in patterns)
         share = min(0.99, max(0.001, matched / total))
         for k in range(width):
-            for table, part in ((m, lambda p: post[p]), (u, lambda p: 1 - post[p])):
-                mass = {v: 0.5 + sum(n * part(p) for p, n in patterns if p[k] == v) for v in (0, 1, 2, 3)}
+            for table, first, part in ((m, first_m, lambda p: post[p]), (u, first_u, lambda p: 1 - post[p])):
+                # the first tables count as PRIOR of the pairs: what is missing often doesn't become a class of its own
+                mass = {v: 0.5 + PRIOR * total * first[v] + sum(n * part(p) for p, n in patterns if p[k] == v) for v in (0, 1, 2, 3)}
                 z = sum(mass.values())
                 table[k] = {v: x / z for v, x in mass.items()}
     return post
@@ -264,9 +273,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
 def linked_classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (id, class) and links (a, b, weight) between classes of records with the same components.
 
-    Pairs of classes come from four blocking keys: street sound and door, street sound and postcode, street
-    sound and district, and door with the street or the street with one letter left out. The last one alone has
-    every pair that accepted() may take: equal doors and streets at most one edit apart. Copies are collapsed before, so a hot place is a few classes however many rows it has.
+    Pairs of classes come from five blocking keys: street sound and door, street sound and postcode, street sound
+    and district, postcode and door, and door with the street or the street with one letter left out. Copies are
+    collapsed before, so a hot place is a few classes however many rows it has; what is still a hot key (the main
+    street of a large city) is dealt to cells. The weights decide whether streets one edit apart, and records that leave
+    parts out, are one place; pairs that contradicts() excludes by definition teach them what chance agreement looks like.
     """
     whole = F.xxhash64(*[F.coalesce(F.col(f), F.lit("-")) for f in FIELDS])
     parts = parts.withColumn("class", whole)
@@ -276,38 +287,46 @@ def linked_classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def block(*keys: str) -> DataFrame:
         a = classes.filter(" and ".join(f"{k} is not null" for k in keys))
         b = a.select(*[F.col(c).alias(f"{c}_b") for c in a.columns], *keys)
-        return a.join(b, list(keys)).filter(F.col("class") < F.col("class_b")).select(*a.columns, *[f"{c}_b" for c in a.columns])
+        return hot_join(a, b, list(keys)).filter(F.col("class") < F.col("class_b")).select(*a.columns, *[f"{c}_b" for c in a.columns])
 
     def one_letter() -> DataFrame:
         keyed = classes.filter("door is not null and length(street) >= 5 and not street rlike '[0-9]'").withColumn("key", F.explode(left_out("street")))
         b = keyed.select(*[F.col(c).alias(f"{c}_b") for c in classes.columns], "key", "door")
-        return keyed.join(b, ["key", "door"]).filter(F.col("class") < F.col("class_b")).select(*classes.columns, *[f"{c}_b" for c in classes.columns])
+        return hot_join(keyed, b, ["key", "door"]).filter(F.col("class") < F.col("class_b")).select(*classes.columns, *[f"{c}_b" for c in classes.columns])
 
-    pairs = block("sound", "door").unionByName(block("sound", "post")).unionByName(block("sound", "district")).unionByName(one_letter()).dropDuplicates(["class", "class_b"])
+    pairs = block("sound", "door").unionByName(block("sound", "post")).unionByName(block("sound", "district")).unionByName(block("post", "door")).unionByName(one_letter()).dropDuplicates(["class", "class_b"])
     marked = reliable(pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b"), *[levels(f, f"{f}_b").alias(f"l_{f}") for f in FIELDS]))
     names = [f"l_{f}" for f in FIELDS]
     patterns = [(tuple(r[:-1]), r[-1]) for r in marked.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 4 ** 7 rows
     weight = estimate(patterns)
-    good = [(*p, w) for p, w in weight.items() if w >= THRESHOLD and accepted(p)]
+    good = [(*p, w) for p, w in weight.items() if w >= THRESHOLD]
     table = parts.sparkSession.createDataFrame(good, ", ".join(f"{n} int" for n in names) + ", weight double")
-    return members, marked.join(F.broadcast(table), names).select("a", "b", "weight")
+    return members, reliable(marked.join(F.broadcast(table), names).select("a", "b", "weight"))
 
 
-def accepted(pattern: tuple[int, ...]) -> bool:
-    """Exact check after the linkage: same street, kind and door; no named area differs. A postcode may differ."""
+def contradicts(pattern: tuple[int, ...]) -> bool:
+    """Exact check after the linkage: another street, kind of street, door, quarter, district or province is another place by definition. A postcode may differ."""
     street, kind, door, quarter, district, province, _ = pattern
-    return street in (1, 2) and kind in (2, 3) and door == 2 and min(quarter, district, province) > 0
+    return door != 2 or min(street, kind, quarter, district, province) == 0
 
 
 def same_place(records: DataFrame, id_col: str, address_col: str, phone_col: str) -> tuple[DataFrame, DataFrame]:
-    """members and links of linked_classes() for the records. Records without an address or street are in no class."""
-    return linked_classes(resolved(components(records, id_col, address_col, phone_col)))
+    """members and links of linked_classes() for the records with an address.
+
+    Records without a street, and those with neither door number nor telephone, are classes by themselves.
+    """
+    parts = reliable(components(records, id_col, address_col, phone_col))
+    members, links = linked_classes(resolved(parts.filter("street is not null")))
+    members = reliable(members)
+    alone = parts.select("id").distinct().join(members.select("id").distinct(), "id", "left_anti")
+    return members.unionByName(alone.select("id", F.xxhash64("id", F.lit("alone")).alias("class"))), links
 
 
 def pairs(members: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     """Pairs of records in one class or in linked classes, the smaller id first."""
     a, b = f"{id_col}_a", f"{id_col}_b"
     left, right = members.select(F.col("id").alias(a), F.col("class").alias("a")), members.select(F.col("id").alias(b), F.col("class").alias("b"))
-    same = left.join(right, left["a"] == right["b"]).filter(F.col(a) < F.col(b)).select(a, b)
-    other = links.select("a", "b").join(left, "a").join(right, "b").select(F.least(a, b).alias(a), F.greatest(a, b).alias(b))
+    same = hot_join(left, right.withColumnRenamed("b", "a"), ["a"]).filter(F.col(a) < F.col(b)).select(a, b)
+    one = reliable(hot_join(links.select("a", "b"), left, ["a"]))
+    other = hot_join(one, right, ["b"]).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b))
     return same.unionAll(other).distinct()

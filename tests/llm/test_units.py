@@ -287,6 +287,24 @@ def test_streets_one_consonant_apart_are_paired(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(8)}
 
 
+def test_weights_decide_whether_near_streets_are_one_place():
+    """The same pattern, of streets one letter apart with no quarter, is a link or none as such streets mostly agree or contradict elsewhere."""
+    asked = (1, 2, 2, 3, 2, 2, 3)
+    assert not addresses.contradicts(asked)
+    same = [((2, 2, 2, 2, 2, 2, 2), 300), ((2, 2, 2, 3, 2, 2, 2), 60), (asked, 2), ((2, 2, 0, 2, 2, 2, 2), 40)]
+    other = addresses.estimate([*same, ((1, 2, 2, 0, 2, 2, 2), 9000)])
+    typos = addresses.estimate([*same, ((1, 2, 2, 2, 2, 2, 2), 100), ((0, 2, 2, 2, 2, 2, 2), 300)])
+    assert other[asked] < addresses.THRESHOLD < typos[asked]
+    assert other[(1, 2, 2, 0, 2, 2, 2)] == 0 and min(other[(2, 2, 2, 2, 2, 2, 2)], typos[(2, 2, 2, 2, 2, 2, 2)]) > addresses.THRESHOLD
+
+
+def test_letters_that_changed_places_are_one_edit(spark):
+    names = [("Çeşmebaşı", "Çeşembaşı"), ("Gülbahçe", "Gülabhçe"), ("Demirkapı", "Demikrapı"), ("Karaağaç", "Kaarağaç")]
+    rows = [(4 * i + k, f"{x} Sk. No {i + 5 + (k == 2)} {'' if k == 3 else f'9039{i}'} Yamaçköy", "") for i, (a, b) in enumerate(names) for k, x in enumerate((a, b, a, a))]
+    df = spark.createDataFrame(rows, "id bigint, address string, phone string")
+    assert {tuple(r) for r in addresses.pairs(*addresses.same_place(df, "id", "address", "phone"), "id").collect()} == {(4 * i + a, 4 * i + b) for i in range(4) for a, b in ((0, 1), (0, 3), (1, 3))}
+
+
 def test_grades_and_levels():
     counts = np.array([[9.0, 1, 0, 0], [0, 0, 1, 9], [5, 5, 5, 5]])
     g = reading.grades_from(counts, np.array([10.0, 10, 10, 10]))
