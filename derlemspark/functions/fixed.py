@@ -30,8 +30,23 @@ FILE_KINDS = (
 )
 # File name keywords -> category, in order.
 FILE_CATEGORIES = (
-    ("erasmus|ka131|ka171|dış ilişkiler|dis iliskiler|uluslararası öğrenci", "erasmus"), ("lisansüstü|enstitü|tez |seminer", "lisansustu"), ("akademik yükseltme|puan tablosu", "akademik_kadro"), ("hizmet içi", "genel_bilgi"),
-    ("uzaktan.*(öğretim|eğitim)|(öğretim|eğitim).*uzaktan|akademik takvim|ders kayıt|ders kayit|staj", "egitim"), ("yatay geçiş|yatay gecis|askerlik", "ogrenci_isleri"), ("yükseköğretim kanunu", "genel_bilgi"), ("sınav", "egitim"), ("diploma", "ogrenci_isleri"), ("öğrenci.*kural|kural.*öğrenci", "egitim"),
+    ("erasmus|ka131|ka171", "erasmus"), ("dış ilişkiler|dis iliskiler", "erasmus"), ("uluslararası öğrenci", "erasmus"), ("lisansüstü|enstitü", "lisansustu"), ("tez |tez\t|seminer", "lisansustu"),
+    ("akademik yükseltme|puan tablosu", "akademik_kadro"), ("hizmet içi", "genel_bilgi"), ("uzaktan.*(öğretim|eğitim)|(öğretim|eğitim).*uzaktan", "egitim"), ("akademik takvim", "egitim"), ("ders kayıt|ders kayit", "egitim"), ("staj", "egitim"),
+    ("yatay geçiş|yatay gecis", "ogrenci_isleri"), ("askerlik", "ogrenci_isleri"), ("yükseköğretim kanunu", "genel_bilgi"), ("sınav", "egitim"), ("diploma", "ogrenci_isleri"), ("öğrenci.*kural|kural.*öğrenci", "egitim"),
+)
+# Folder kinds that no file name overrides.
+FOLDER_KINDS = ("yonetmelik", "yonerge")
+# File name keywords -> department, in order.
+FILE_DEPARTMENTS = (
+    ("bilgisayar mühendisliği|^bmb", "Bilgisayar Mühendisliği"), ("elektrik|elektronik|^eem", "Elektrik-Elektronik Mühendisliği"), ("endüstri mühendisliği", "Endüstri Mühendisliği"), (r"tıp|(^|\s)tip(\s|$)", "Tıp Fakültesi"),
+    ("hemşire|hemsire", "Hemşirelik"), (r"(^|\s)ebe(\s|$)", "Ebelik"), ("fizyoterapi", "Fizyoterapi"), ("arapça|arapca", "Arapça Mütercim ve Tercümanlık"), ("ingilizce.*mütercim|mütercim.*ingilizce", "İngilizce Mütercim ve Tercümanlık"),
+    ("islami ilimler", "İslami İlimler"), ("radyo", "Radyo ve Televizyon Teknolojisi"), ("makine", "Makine ve Metal Teknolojileri"), ("laboratuvar", "Tıbbi Laboratuvar Teknikleri"), ("acil yardım|ilk ve acil", "İlk ve Acil Yardım"),
+    ("ameliyathane", "Ameliyathane Hizmetleri"), ("yaşlı bakım|yasli bakim", "Yaşlı Bakım"), ("bilgisayar programcılığı|bilgisayarprogramciligi", "Bilgisayar Programcılığı"), ("yabancı diller yüksekokulu", "Yabancı Diller Yüksekokulu"), ("kariyer", "Kariyer Geliştirme Merkezi"),
+)
+# File name keywords, or else the category -> contact unit, in order.
+FILE_CONTACTS = (
+    ("erasmus", "erasmus", "Dış İlişkiler Koordinatörlüğü / Erasmus+ Ofisi"), ("lisansüstü|enstitü", "lisansustu", "Lisansüstü Eğitim Enstitüsü"), ("", "ogrenci_isleri", "Öğrenci İşleri Daire Başkanlığı"),
+    ("staj", "", "İlgili Bölüm Staj Komisyonu"), ("diploma", "", "Öğrenci İşleri Daire Başkanlığı"), ("faaliyet raporu|stratejik plan|değerlendirme raporu|degerlendirme raporu", "", "Strateji Geliştirme Daire Başkanlığı"),
 )
 
 # Words left out of the keyword leg.
@@ -52,17 +67,23 @@ DOMAIN_TERMS = (
     "laboratuvar", "radyo", "televizyon", "makine", "bilgisayarcılık", "programcılık", "üniversite", "fakülte", "yüksekokul", "enstitü", "bölüm", "kütüphane", "yemekhane", "müfredat", "transkript", "erasmus", "akreditasyon", "devamsızlık",
     "yönetmelik", "koordinatörlük", "dekanlık", "rektörlük", "kontenjan", "başvuru", "kayıt", "mezuniyet", "kampüs", "yurt", "spor",
 )
-# Question topics and the units they lead to, the first that matches counts.
+# Beginnings of words in a question and the units they lead to, the first that matches counts.
 TOPICS = (
-    ("transkript|not belgesi|öğrenci belgesi|ilişik kes|kayıt dondur|kayıt sil|harç|katkı payı", "öğrenci işleri daire başkanlığı"), ("burs|kyk|yurt|barınma", "sağlık kültür ve spor daire başkanlığı"),
-    ("erasmus|mevlana|farabi|değişim program", "uluslararası ilişkiler koordinatörlüğü"), ("staj", "bölüm başkanlığı staj koordinatörlüğü"),
+    (r"transkript|not\s+belgesi|öğrenci\s+belgesi|ilişik\s+kes|kayıt\s+dondur|kayıt\s+sil|harç|katkı\s+payı", "öğrenci işleri daire başkanlığı"), ("burs|kyk|yurt|barınma", "sağlık kültür ve spor daire başkanlığı"),
+    (r"erasmus|mevlana|farabi|değişim\s+program", "uluslararası ilişkiler koordinatörlüğü"), (r"staj|zorunlu\s+staj|staj\s+defteri", "bölüm başkanlığı staj koordinatörlüğü"),
 )
-# Questions out of scope, and words that keep a question in scope.
+# Questions out of scope, as beginnings of words, those that must follow, and those that must not follow; and words that keep a question in scope.
 OUT_OF_SCOPE = (
-    "(python|javascript|java|html|css|sql|php).*(kod|code|yaz|script|program|fonksiyon)", "(kod|code|script|program|fonksiyon).*(yaz|oluştur|üret|generate|create)", "(başkent|başbakan|cumhurbaşkan|nüfus|yüzölçüm).*(nere|nedir|kim|kaç)",
-    "(nere|nedir|kim).*(başkent|başbakan|cumhurbaşkan|nüfus)", "hava +durumu|döviz|borsa|kripto|bitcoin|maç +skor|lig +puan", "yemek +tarif|diyet +liste|kalori +hesapla", "(şiir|hikaye|roman|mektup|söz) +yaz",
-    "(çevir|translate|tercüme +et).*(ingilizce|almanca|fransızca|arapça|japonca)", "hesapla|kaç +eder|karekök|integral|türev|faktöriyel",
-)
+    (r"python|javascript|java|c\+\+|html|css|sql|php|ruby|swift|kotlin|rust|go|typescript", "kod|code|yaz|script|program|fonksiyon|function|class|sınıf", ""),
+    ("kod|code|script|program|fonksiyon|function", "yaz|oluştur|üret|generate|create", ""),
+    ("başkent|başbakan|cumhurbaşkan|nüfus|yüzölçüm", r"nere|ne\s?dir|kim|kaç", ""),
+    (r"nere|ne\s?dir|kim", "başkent|başbakan|cumhurbaşkan|nüfus", ""),
+    (r"hava\s+durumu|döviz|borsa|kripto|bitcoin|maç\s+skor|lig\s+puan", "", ""),
+    (r"yemek\s+tarif|diyet\s+liste|kalori\s+hesapla", "", ""),
+    (r"şiir\s+yaz|hikaye\s+yaz|roman\s+yaz|mektup\s+yaz|söz\s+yaz", "", ""),
+    (r"çevir|translate|tercüme\s+et", "ingilizce|almanca|fransızca|arapça|japonca", ""),
+    (r"hesapla|kaç\s+eder|karekök|integral|türev|faktöriyel", "", "harç|ücret|kredi|ders|akts"),
+)
 SIGNALS = (
     "üniversite", "universite", "fakülte", "fakulte", "bölüm", "bolum", "enstitü", "myo", "yüksekokul", "rektör", "dekan", "dekanlık", "ders", "sınav", "sinav", "transkript", "diploma", "mezuniyet", "kayıt", "devamsızlık", "müfredat", "akts", "kredi",
     "kontenjan", "başarı", "not", "dönem", "erasmus", "staj", "burs", "yurt", "yemekhane", "kütüphane", "kulüp", "topluluk", "öğrenci", "obs", "ubys", "lms", "harç", "duyuru", "yönetmelik", "yönerge", "mdbf", "sbf", "shmyo", "tbmyo", "ydyo", "gsmf", "sks", "ilahiyat", "tıp",

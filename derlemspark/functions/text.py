@@ -41,3 +41,17 @@ def strings(values: Iterable[str]) -> Column:
 def ascii_fold(text: Column) -> Column:
     """Turkish letters to ASCII, after lower case."""
     return F.translate(fold(text), "çğıöşüâîû", "cgiosuaiu")
+
+
+#: What stands before a word: the start of the text or a sign that no word has (in patterns that every engine reads alike).
+START = "(?:^|[^0-9a-z_çğıöşüâîû])"
+
+
+def begins(words: str, then: str = "") -> str:
+    """Pattern for a word that begins with one of the words, followed somewhere by one that begins with one of the others."""
+    return f"{START}(?:{words})" + (f".*{START}(?:{then})" if then else "")
+
+
+def up_to_last(words: str) -> str:
+    """Pattern for a text up to its last word that begins with one of the words."""
+    return f"^.*{START}(?:{words})"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 LIMIT, LONG, MIN_CHUNK = 1200, 1800, 40
 WORDS, OVERLAP = 200, 40
+#: Context of the text before the first heading.
+INTRO = "Giriş"
 #: Marks put before a heading or an article, so that one plain split serves every engine.
 MARK = "\u0001"
 
@@ -57,10 +59,11 @@ def paragraphs(text: Column, limit: int = LIMIT) -> Column:
     return F.flatten(F.transform(packed, lambda p: F.when(F.length(p) > 2 * limit, word_windows(p)).otherwise(F.array(p))))
 
 
-def heading_context(text: Column) -> Column:
+def heading_context(text: Column, longest: int = LONG) -> Column:
     """array<struct<text, context>>: sections at headings; up to level 2 a heading starts the context anew, a deeper one is appended to it.
 
-    An introduction under MIN_CHUNK characters is dropped.
+    An introduction under MIN_CHUNK characters is dropped, another has the context INTRO. Sections that are too long are
+    packed from their paragraphs and keep their context.
     """
     sections = marked_split(text, HEADING)
 
@@ -69,11 +72,23 @@ def heading_context(text: Column) -> Column:
         title = F.trim(F.regexp_extract(section, r"^#+\s+([^\n]*)", 1))
         context = F.when(level == 0, F.lit("")).when((level <= 2) | (state["context"] == ""), title).otherwise(F.concat(state["context"], F.lit(" > "), title))
         kept = (level > 0) | (F.length(F.trim(section)) >= MIN_CHUNK)
-        item = F.struct(F.trim(section).alias("text"), context.alias("context"))
+        item = F.struct(F.trim(section).alias("text"), F.when(level == 0, F.lit(INTRO)).otherwise(context).alias("context"))
         return F.struct(context.alias("context"), F.when(kept, F.concat(state["out"], F.array(item))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit("").alias("context"), F.array().cast("array<struct<text:string,context:string>>").alias("out"))
-    return F.aggregate(sections, start, add, lambda s: s["out"])
+    whole = F.aggregate(sections, start, add, lambda s: s["out"])
+
+    def packed(x: Column) -> Column:
+        parts = F.transform(paragraphs(x["text"]), lambda p: F.struct(p.alias("text"), x["context"].alias("context")))
+        return F.when(F.length(x["text"]) > longest, parts).otherwise(F.array(F.struct(x["text"].alias("text"), x["context"].alias("context"))))
+
+    return F.flatten(F.transform(whole, packed))
+
+
+def semantic(text: Column) -> Column:
+    """Sections at headings where a text has two headings or more, packed paragraphs elsewhere."""
+    headed = F.size(F.regexp_extract_all(text, F.lit(HEADING + r"\S"), F.lit(0))) >= 2
+    return F.when(headed, F.transform(heading_context(text), lambda x: x["text"])).otherwise(paragraphs(text))
 
 
 def merge_short(chunks: Column, least: int = MIN_CHUNK) -> Column:
@@ -101,6 +116,6 @@ def dispatch(text: Column, kind: Column) -> Column:
         .when(kind.isin("tanitim", "rehber"), by_marks(text, HEADING))
         .when(kind.isin("duyuru", "haber"), whole_or_windows(text))
         .when(kind.isin("mufradat", "ders_plani"), word_windows(text))
-        .otherwise(paragraphs(text))
+        .otherwise(semantic(text))
     )
     return merge_short(chosen)

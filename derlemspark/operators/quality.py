@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import first_keyword, fold
+from .joins import guarded_join
 
 BUCKETS = ((50, "<50"), (200, "50-200"), (1000, "200-1K"), (5000, "1K-5K"), (50000, "5K-50K"))
 
@@ -36,8 +37,7 @@ def bucket(length: Column) -> Column:
 
 
 def issues(docs: DataFrame, id_col: str, content: str, required: list[str], recommended: list[str], url: str, title: str) -> DataFrame:
-    """id, severity, field, message of every issue of every document, from one scan and one window over urls."""
-    first = F.min(id_col).over(Window.partitionBy(url))
+    """id, severity, field, message of every issue of every document, the first id of each url by a grouped minimum; no text is shuffled by url."""
     found = [F.when(blank(F.col(c)), F.struct(F.lit("error").alias("severity"), F.lit(c).alias("field"), F.lit("missing").alias("message"))) for c in required]
     found += [F.when(blank(F.col(c)), F.struct(F.lit("info").alias("severity"), F.lit(c).alias("field"), F.lit("missing").alias("message"))) for c in recommended]
 
@@ -50,6 +50,13 @@ def issues(docs: DataFrame, id_col: str, content: str, required: list[str], reco
         say(F.coalesce(n, F.lit(0)) < fixed.MIN_CONTENT, "warning", "content", F.lit("short")),
         say(n > fixed.MAX_CONTENT, "warning", "content", F.lit("long")),
         say(word.isNotNull(), "error", "content", word),
-        say(~blank(F.col(url)) & (F.col("__first") < F.col(id_col)), "warning", url, F.concat(F.lit("duplicate of "), F.col("__first").cast("string"))),
     ]
-    return docs.withColumn("__first", first).select(id_col, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select(id_col, "i.*")
+    own = docs.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select(id_col, "i.*")
+    keyed = docs.filter(~blank(F.col(url))).select(id_col, url)
+    again = guarded_join(keyed, firsts(keyed, url, id_col), [url]).filter(F.col("__first") < F.col(id_col))
+    return own.unionAll(again.select(id_col, F.lit("warning"), F.lit(url), F.concat(F.lit("duplicate of "), F.col("__first").cast("string"))))
+
+
+def firsts(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """key, __first: the least id of each key that has more than one row; a partial aggregation, so a hot key costs one row a task."""
+    return rows.groupBy(key).agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(key, "__first")

@@ -62,11 +62,12 @@ def greedy_source_dedup(t):
     return lists.select("birim_id", "list_no", A.greedy_dedup(F.col("s")).alias("kept"))
 
 
-@query(f"SELECT page_id, CASE WHEN dep IS NULL OR contains({fold_sql('a')}, array_to_string(string_split({fold_sql('dep')}, ' ')[1:2], ' ')) THEN length(a) ELSE length(a) + length(dep) + 2 END AS chars FROM {PAIR_SQL}")
+@query(f"SELECT page_id, CASE WHEN dep IS NULL OR contains({fold_sql('a')}, array_to_string(string_split({fold_sql('dep')}, ' ')[1:2], ' ')) THEN a ELSE a || chr(10) || chr(10) || dep END AS answer FROM {PAIR_SQL}")
 def routing_note(t):
+    """The answer with the unit to turn to, unless it names the unit's first two words already."""
     two = F.array_join(F.slice(F.split(fold("dep"), " "), 1, 2), " ")
     there = F.col("dep").isNull() | F.contains(fold("a"), two)
-    return pairs(t).select("page_id", F.length(F.when(there, F.col("a")).otherwise(F.concat("a", F.lit("\n\n"), "dep"))).alias("chars"))
+    return pairs(t).select("page_id", F.when(there, F.col("a")).otherwise(F.concat("a", F.lit("\n\n"), "dep")).alias("answer"))
 
 
 REDACT_SQL = "regexp_replace(regexp_replace(regexp_replace(body_content, '\\b\\d{11}\\b', '[TC_KİMLİK_FİLTRELENDİ]', 'g'), '\\b\\d{8,10}\\b', '[ÖĞRENCİ_NO_FİLTRELENDİ]', 'g'), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b', '[E_POSTA_FİLTRELENDİ]', 'g')"

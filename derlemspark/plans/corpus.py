@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import first_keyword, fold
 from ..operators import quality
+from ..operators.joins import guarded_join
 from .base import Tables, fold_sql, list_sql, query
 
 SPACE = "length(trim(text))"
@@ -160,7 +161,8 @@ def completeness(t):
   s AS (SELECT greatest(0, least(100, 100 - 0.3 * (100 - required_pct) - least(2 * ph, 20) - least(1.5 * short, 15) - least(untitled, 10) - least(dup, 10))) AS score FROM a)
   SELECT round(score, 4) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s""")
 def health_score(t):
-    d = t.test_seed.select("seed_id", F.col("content").alias("text"), "meta.*").withColumn("rn", F.row_number().over(Window.partitionBy("source_url").orderBy("seed_id")))
+    d = t.test_seed.select("seed_id", F.col("content").alias("text"), "meta.*")
+    urls = d.groupBy("source_url").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("again"))  # rows after the first of their url
     required = [c for c in fixed.REQUIRED_FIELDS if c != "department"]
     filled = sum((F.when(F.trim(c) != "", 1).otherwise(0) for c in required), F.lit(0))
     pct = lambda c: F.lit(100.0) * F.count_if(c) / F.count(F.lit(1))
@@ -169,8 +171,9 @@ def health_score(t):
         pct(first_keyword(fold("text"), fixed.PLACEHOLDER_KEYWORDS).isNotNull()).alias("ph"),
         pct(F.coalesce(F.length(F.trim("text")), F.lit(0)) < 50).alias("short"),
         pct(quality.blank(F.col("title"))).alias("untitled"),
-        pct(F.col("rn") > 1).alias("dup"),
+        F.count(F.lit(1)).alias("n"),
     )
+    a = a.crossJoin(urls).withColumn("dup", 100.0 * F.col("again") / F.col("n"))  # one row each
     s = a.selectExpr("greatest(0.0D, least(100.0D, 100 - 0.3D * (100 - required_pct) - least(2 * ph, 20.0D) - least(1.5D * short, 15.0D) - least(untitled, 10.0D) - least(dup, 10.0D))) as score")
     return s.selectExpr("round(score, 4) as score", "case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade")
 
@@ -226,9 +229,9 @@ def run_rollup(t):
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id FROM documents WHERE text IS NOT NULL QUALIFY first_id < doc_id")
 def dup_content_first(t):
-    # the window carries hashes, not texts
     h = t.documents.filter("text is not null").select("doc_id", F.md5("text").alias("h"))
-    return h.withColumn("first_id", F.min("doc_id").over(Window.partitionBy("h"))).filter("first_id < doc_id").select("doc_id", "first_id")
+    first = quality.firsts(h, "h", "doc_id")
+    return guarded_join(h, first, ["h"]).filter("__first < doc_id").select("doc_id", F.col("__first").alias("first_id"))
 
 
 @query("SELECT count(*) AS total, count(embedding) AS with_embedding, count(*) FILTER (WHERE embedding IS NULL) AS without_embedding, count(*) FILTER (WHERE embedding IS NULL) = 0 AS passed FROM embeddings")

@@ -126,15 +126,17 @@ def pdf_links_resolved(t):
 
 
 @query("""WITH r AS (SELECT page_id, string_split(body_content, chr(10)) AS ls FROM page_results), l AS (SELECT page_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM r),
-  f AS (SELECT page_id, pos, nullif(regexp_extract(line, '(\\+?[0-9][0-9 ()-]{8,}[0-9])', 1), '') AS phone, nullif(regexp_extract(line, '([A-Za-z0-9._+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,})', 1), '') AS email FROM l)
-  SELECT page_id, min_by(phone, pos) FILTER (WHERE phone IS NOT NULL) AS phone, min_by(email, pos) FILTER (WHERE email IS NOT NULL) AS email, max_by(phone, pos) FILTER (WHERE phone IS NOT NULL) AS fax FROM f GROUP BY page_id""")
+  f AS (SELECT page_id, pos, nullif(regexp_extract(line, '(\\+?[0-9][0-9 ()-]{8,}[0-9])', 1), '') AS number, nullif(regexp_extract(line, '([A-Za-z0-9._+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,})', 1), '') AS email, regexp_matches(lower(line), 'faks|fax') AS is_fax FROM l)
+  SELECT page_id, min_by(number, pos) FILTER (WHERE number IS NOT NULL AND NOT is_fax) AS phone, min_by(email, pos) FILTER (WHERE email IS NOT NULL) AS email, min_by(number, pos) FILTER (WHERE number IS NOT NULL AND is_fax) AS fax FROM f GROUP BY page_id""")
 def contact_extract(t):
+    """First telephone, e-mail and fax of each page; a number on a line that says fax is a fax."""
     lines = t.page_results.select("page_id", F.posexplode(F.split("body_content", "\n")).alias("pos", "line"))
-    phone = F.nullif(F.regexp_extract("line", r"(\+?[0-9][0-9 ()-]{8,}[0-9])", 1), F.lit(""))
+    number = F.nullif(F.regexp_extract("line", r"(\+?[0-9][0-9 ()-]{8,}[0-9])", 1), F.lit(""))
     email = F.nullif(F.regexp_extract("line", r"([A-Za-z0-9._+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,})", 1), F.lit(""))
-    f = lines.select("page_id", "pos", phone.alias("phone"), email.alias("email"))
-    have = lambda c: F.when(F.col(c).isNotNull(), F.col("pos"))
-    return f.groupBy("page_id").agg(F.min_by("phone", have("phone")).alias("phone"), F.min_by("email", have("email")).alias("email"), F.max_by("phone", have("phone")).alias("fax"))
+    f = lines.select("page_id", "pos", number.alias("number"), email.alias("email"), F.regexp_like(F.lower("line"), F.lit("faks|fax")).alias("is_fax"))
+    have = lambda c, when=F.lit(True): F.when(F.col(c).isNotNull() & when, F.col("pos"))
+    first = {"phone": ("number", ~F.col("is_fax")), "email": ("email", F.lit(True)), "fax": ("number", F.col("is_fax"))}
+    return f.groupBy("page_id").agg(*[F.min_by(c, have(c, when)).alias(name) for name, (c, when) in first.items()])
 
 
 @query("SELECT string_agg(k || '. ' || birim_adi, chr(10) ORDER BY k) AS master FROM (SELECT birim_adi, row_number() OVER (ORDER BY birim_adi, birim_id) AS k FROM birimler)")

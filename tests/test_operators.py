@@ -165,3 +165,55 @@ def test_crawl_goes_on_until_the_frontier_is_empty(spark, tmp_path):
 
     spark.createDataFrame([(i, f"https://x.example/?id={i + 1}") for i in range(1, 16)], "birim_id int, url string").coalesce(1).write.parquet(str(tmp_path / "page_results.parquet"))
     assert sorted(map(tuple, registry.queries()["crawl_frontier"](spark, str(tmp_path)).collect())) == [(i + 1, i) for i in range(16)]
+
+
+def test_spelling_aims_at_domain_terms():
+    import difflib
+
+    from derlemspark.functions import fixed
+    from derlemspark.plans import questions
+
+    assert questions.best_term("kütüphanee") == "kütüphane" and questions.best_term("mühendislgi") in ("mühendisliği", "mühendislik")
+    assert questions.best_term("yurt") == "yurt" and questions.best_term("ne") == "ne" and questions.best_term("zzzzqqq") == "zzzzqqq"
+    for word in ("fakulte", "transkrip", "erasmuss", "laboratuar", "kontenjanlar", "bahar"):
+        near = [x for x in fixed.DOMAIN_TERMS if difflib.SequenceMatcher(None, x, word).ratio() >= questions.CLOSE]
+        assert (questions.best_term(word) in near) if near else True
+
+
+def test_questions_are_mended_and_routed_as_asked(spark):
+    from derlemspark.plans import questions
+
+    asked = spark.createDataFrame([(1, "mdbf transkrip nasıl alınır"), (2, "tıp mı diş mi"), (3, "bursa yolu"), (4, "gelecek program"), (5, "")], "doc_id bigint, q string")
+    corrected = spark.createDataFrame([("transkrip", "transkript")], "word string, corrected string")
+    got = {r["doc_id"]: r for r in questions.preprocessed(asked, corrected).collect()}
+    assert got[1]["keyword_query"] == "mdbf mühendislik ve doğa bilimleri fakültesi transkript nasıl alınır" and got[1]["unit"] is None
+    assert got[2]["is_comparison"] is True or len("diş") <= 2
+    assert got[3]["unit"] == "sağlık kültür ve spor daire başkanlığı" and got[3]["keyword_query"].endswith("başkanlığı")
+    assert got[4]["unit"] is None and got[5]["keyword_query"] == ""
+
+
+def test_intent_rules_look_at_beginnings_of_words(spark):
+    from pyspark.sql import functions as F
+
+    from derlemspark.functions import fixed
+    from derlemspark.functions.text import begins, up_to_last
+
+    def hit(q):
+        for first, then, unless in fixed.OUT_OF_SCOPE:
+            rest = F.regexp_replace(F.lit(q), up_to_last(unless), "x") if unless else F.lit(q)
+            if one(spark, q, lambda c: F.regexp_like(rest, F.lit(begins(first, then)))):
+                return True
+        return False
+
+    assert hit("bana python kodu yaz") and hit("rust ile program yaz") and hit("türev nasıl alınır") and hit("şiir yaz") and hit("harç öde ve türev hesapla")
+    assert not hit("alpython kodu") and not hit("hesapla harç ücretini") and not hit("öğrenci işleri nerede")
+
+
+def test_dispatch_goes_to_headings(spark):
+    text = "Bu giriş paragrafı kırk karakterden uzundur, evet uzundur.\n\n# Bir\n" + "söz " * 20 + "\n## İki\n" + ("Bir tümce burada biter. " * 20 + "\n\n") * 6
+    rows = one(spark, text, lambda c: chunking.heading_context(c))
+    assert [r["context"] for r in rows][:3] == ["Giriş", "Bir", "İki"] and {r["context"] for r in rows[2:]} == {"İki"} and len(rows) > 3
+    assert max(len(r["text"]) for r in rows) <= chunking.LONG
+    assert [r["text"] for r in rows] == one(spark, text, chunking.semantic)
+    plain = "Bir paragraf.\n\nBaşka bir paragraf.\n# tek başlık"
+    assert one(spark, plain, chunking.semantic) == one(spark, plain, chunking.paragraphs)
