@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .joins import guarded_join
+from ..session import reliable
+from .joins import guarded_join, hot_join
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Queries of one block: their vectors are sent to the executors together.
-BLOCK = 4096
-
+#: Queries, and vectors, of one cell of the comparison: what a task holds at a time.
+BLOCK = 8192
+#: Vectors that a task of a small table takes at least.
+LEAST_ROWS = 256
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64)
@@ -25,41 +27,73 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def top_cosine(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(names: np.ndarray, matrix: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int) -> pa.Table:
+    """query_id, vec_id, similarity of the k nearest rows of each query, ties by id, a bounded number of similarities at a time."""
+    m = min(k, len(own))
+    by_id = np.argsort(own, kind="stable")
+    own, rows = own[by_id], rows[by_id]
+    ids, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    for at in range(0, len(names), 512):
+        s = np.round(matrix[at : at + 512] @ rows.T, 6)
+        if m < s.shape[1]:  # all rows that reach the k-th similarity, ties included, then the stable order of ids decides
+            least = np.partition(s, s.shape[1] - m, axis=1)[:, -m]
+            order = np.stack([c[np.argsort(-x[c], kind="stable")[:m]] for x, c in ((x, np.flatnonzero(x >= v)) for x, v in zip(s, least))]) if len(s) else np.zeros((0, m), dtype=np.int64)
+        else:
+            order = np.argsort(-s, axis=1, kind="stable")
+        ids.append(own[order].reshape(-1))
+        found.append(np.take_along_axis(s, order, 1).reshape(-1))
+    return pa.table({"query_id": pa.array(np.repeat(names, m)), "vec_id": pa.array(np.concatenate(ids)), "similarity": pa.array(np.concatenate(found))})
+
+
+def top_cosine(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, similarity (6 digits), rank of the k nearest vectors of each query, ties by id; null vectors are left out.
 
-    The stated queries are taken in blocks of BLOCK; each batch of vectors gives its own top k of each
-    query, which one window per query merges.
+    The stated queries and the vectors are dealt to blocks; every pair of blocks meets in one task, which gives its own
+    top k of each of its queries; one window per query merges these. Nothing comes to the driver but two counts.
     """
-    vectors = vectors.filter("embedding is not null")
-    ids = queries.filter("embedding is not null").select("vec_id", "embedding").orderBy("vec_id").toPandas()
-    found = None
-    for at in range(0, max(1, len(ids)), BLOCK):
-        part = ids.iloc[at : at + BLOCK]
-        block = vectors.sparkSession.sparkContext.broadcast((part.vec_id.to_numpy(), _unit(np.array(part.embedding.tolist(), dtype=np.float64)) if len(part) else np.zeros((0, 1))))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            names, matrix = block.value
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                own, rows = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1)))
-                s = np.round(matrix @ rows.T, 6)
-                m = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, m)), pa.array(own[order].reshape(-1)), pa.array(np.take_along_axis(s, order, 1).reshape(-1))], names=["query_id", "vec_id", "similarity"])
-
-        part_found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, similarity double")
-        found = part_found if found is None else found.unionAll(part_found)
+    vectors, queries = (df.filter("embedding is not null").select("vec_id", "embedding") for df in (vectors, queries))
+    n, m = vectors.count(), queries.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    tiles, blocks = max(1, -(-n // block), min(cores, n // LEAST_ROWS)), max(1, -(-m // block))
+
+    def cell(df: DataFrame, own: int, others: int, names: tuple[str, str]) -> DataFrame:
+        mine = F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int").alias(names[0])
+        return df.select("vec_id", "embedding", mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(names[1]))
+
+    rows = cell(vectors, tiles, blocks, ("tile", "block")).groupBy("tile", "block")
+    asked = cell(queries, blocks, tiles, ("block", "tile")).groupBy("tile", "block")
+
+    def meet(v: pa.Table, q: pa.Table) -> pa.Table:
+        v, q = v.combine_chunks(), q.combine_chunks()
+        if not v.num_rows or not q.num_rows:
+            none = pa.array([], pa.int64())
+            return pa.table({"query_id": none, "vec_id": none, "similarity": pa.array([], pa.float64())})
+        return nearest(q["vec_id"].to_numpy(), _unit(_matrix(q["embedding"])), v["vec_id"].to_numpy(), _unit(_matrix(v["embedding"])), k)
+
+    found = rows.cogroup(asked).applyInArrow(meet, "query_id bigint, vec_id bigint, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def terms(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """id, term, tf, dl for the wanted terms only: one scan, the join before the exchange. dl counts all words."""
+def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """id, term, tf, dl for the wanted terms, and a row with a null term for each document with text; written once.
+
+    dl counts all words. One scan of the texts, which are cut into words once; only wanted words are shuffled.
+    """
     t = docs.filter(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col)).alias("__t"))
-    one = t.select(id_col, F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-    return guarded_join(one, wanted.select("term").distinct(), ["term"], "left_semi").groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    one = t.select(id_col, F.size("__t").alias("dl"), F.explode(F.concat(F.array(F.lit(MARK)), "__t")).alias("term"))
+    keys = wanted.select("term").distinct().unionAll(wanted.sparkSession.range(1).select(F.lit(MARK).alias("term")))
+    rows = guarded_join(one, keys, ["term"], "left_semi").groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return reliable(rows.withColumn("term", F.nullif("term", F.lit(MARK))))
+
+
+#: Stands for the document itself among its words; no word has such a sign.
+MARK = "\u0001"
+
+
+def terms(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """id, term, tf, dl for the wanted terms only."""
+    return postings(docs, id_col, text_col, wanted).filter("term is not null")
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,14 +104,15 @@ def top_bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k:
     """query_id, id, score (6 digits), rank: the k best documents of each query by BM25 (Robertson and Zaragoza, 2009), ties by id.
 
     queries: query_id, term. idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N and average length are over the
-    documents with text.
+    documents with text. Postings of a common term are dealt to cells.
     """
-    index = terms(docs, id_col, text_col, queries)
-    size = docs.filter(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl")).first()
+    index = postings(docs, id_col, text_col, queries)
+    size = index.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    index = index.filter("term is not null")
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = guarded_join(queries, df, ["term"]).withColumn("idf", F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    wanted = reliable(guarded_join(queries, df, ["term"]).withColumn("idf", F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(size["avgdl"] or 1.0)))
-    scored = index.join(wanted, "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hot_join(index, wanted.select("query_id", "term", "idf"), ["term"]).groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -92,6 +127,11 @@ def fuse(legs: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def cells_for(rows: int) -> int:
+    """Number of cells of an index: it grows as the root of the rows, so a cell and the list of cells grow alike."""
+    return max(4, int(rows**0.5))
+
+
 def centroids(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
     """Cell centres fitted by spherical k-means on a bounded sample (lowest id hashes)."""
     rows = vectors.filter("embedding is not null").orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").toPandas()

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables whose rows hold texts: a single small file of them still keeps all cores busy.
+TEXTS = ("documents", "page_results", "static_slugs_output", "test_seed")
 
 
 class Tables:
@@ -19,7 +21,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        df = table(self.spark, self.folder, name)
+        return spread(df) if name in TEXTS else df
 
 
 def query(sql: str | None = None) -> Callable:

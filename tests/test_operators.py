@@ -217,3 +217,34 @@ def test_dispatch_goes_to_headings(spark):
     assert [r["text"] for r in rows] == one(spark, text, chunking.semantic)
     plain = "Bir paragraf.\n\nBaşka bir paragraf.\n# tek başlık"
     assert one(spark, plain, chunking.semantic) == one(spark, plain, chunking.paragraphs)
+
+
+def test_top_cosine_is_the_same_in_any_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 8)), 2)
+    x[40:45] = x[3]  # ties
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, None)], "vec_id bigint, embedding array<float>")
+    asked = df.filter("vec_id % 10 = 3")
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    wanted = {(q, v, r + 1) for q in range(3, 90, 10) for r, v in enumerate(sorted(range(90), key=lambda v: (-round(float(np.float32(unit[q]) @ np.float32(unit[v])), 4), v))[:3])}
+    whole = {(r["query_id"], r["vec_id"], r["rank"]) for r in retrieval.top_cosine(df, asked, 7).collect()}
+    assert whole == {(r["query_id"], r["vec_id"], r["rank"]) for r in retrieval.top_cosine(df, asked, 7, block=4).collect()}
+    assert len({w[:2] for w in wanted} & {w[:2] for w in whole}) >= 0.9 * len(wanted)
+    assert retrieval.top_cosine(df.limit(0), asked.limit(0), 3).count() == 0
+
+
+def test_index_finds_nine_tenths(spark):
+    from derlemspark.plans import registry
+
+    for sf in ("sf0.001", "sf0.01"):
+        assert registry.queries()["ann_recall"](spark, f"/root/testdata/{sf}").first()["recall"] >= 0.9
+
+
+def test_bm25_on_empty_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "söz söz var"), (4, "başka söz")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(9, "söz"), (9, "yok")], "query_id bigint, term string")
+    got = retrieval.top_bm25(docs, "doc_id", "text", asked, 5).collect()
+    assert [(r["query_id"], r["doc_id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(9, 3, 1), (9, 4, 2)]
+    assert retrieval.top_bm25(docs.limit(0), "doc_id", "text", asked, 5).count() == 0
