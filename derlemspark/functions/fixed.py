@@ -98,3 +98,4 @@ LOCAL_PATH = r"[A-Za-z]:\\[^\s\"]+"
 PII = ((r"\b\d{11}\b", "[TC_KİMLİK_FİLTRELENDİ]"), (r"\b\d{8,10}\b", "[ÖĞRENCİ_NO_FİLTRELENDİ]"), (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[E_POSTA_FİLTRELENDİ]"))
 ACADEMIC_CONTEXT = ("akademik", "eğitim öğretim", "öğretim yılı", "güz", "bahar", "dönem", "müfredat", "ders")
 REPORT_KINDS = ("rapor", "pdf_rapor")
+REPORT_WORDS = ("rapor", "faaliyet", "değerlendirme", "degerlendirme")

@@ -61,3 +61,44 @@ def slug_title(url: Column) -> Column:
     unit = F.regexp_extract(pick, r"^Birim(.+)\.aspx$", 1)
     name = F.trim(F.regexp_replace(F.when(unit != "", unit).otherwise(F.regexp_replace(pick, r"\.[A-Za-z]+$", "")), "[-_]+", " "))
     return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """href as an address, read against the address of the page it stands on; . and .. are resolved, null stays null."""
+    root = F.concat(scheme(base), F.lit("://"), netloc(base))
+    rest = path_query(base)
+    path = F.regexp_replace(rest, r"\?.*$", "")
+    href = F.trim(href)
+    joined = (
+        F.when(F.regexp_like(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme(base), F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when((href == "") | F.startswith(href, F.lit("#")), F.concat(root, rest, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
+        .otherwise(F.concat(root, F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "[^/]*$", "")).otherwise(F.lit("/")), href))
+    )
+    return without_dots(joined)
+
+
+def without_dots(url: Column) -> Column:
+    """A web address with the . and .. of its path resolved; .. above the root is dropped."""
+    head = F.regexp_extract(url, "^((?:https?|ftp)://[^/?#]*)", 1)
+    path, tail = F.regexp_extract(url, "^(?:https?|ftp)://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, "([?#].*)$", 1)
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == ".", kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(part)))
+
+    solved = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    solved = F.when(last.isin(".", ".."), F.concat(solved, F.array(F.lit("")))).otherwise(solved)
+    dotted = (head != "") & F.regexp_like(path, F.lit(r"(?:^|/)\.\.?(?:/|$)"))
+    return F.when(dotted, F.concat(head, F.array_join(solved, "/"), tail)).otherwise(url)
+
+
+def unwrapped(url: Column, viewer: str = "PdfViewer.aspx", parameter: str = "file") -> Column:
+    """The file that a viewer page shows: the parameter, decoded and read against the viewer's folder; other addresses as they are."""
+    path = F.regexp_replace(path_query(url), r"\?.*$", "")
+    shown = F.regexp_extract(url, rf"[?&]{parameter}=([^&#]+)", 1)
+    folder = F.substring_index(url, viewer, 1)
+    return F.when(F.contains(path, F.lit(viewer)) & (shown != ""), absolute(folder, F.url_decode(shown))).otherwise(url)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import ascii_fold, begins, first_rule, fold, strings, up_to_last
+from ..operators import metadata
 from ..operators.joins import guarded_join
 from .base import case_sql, fold_sql, list_sql, query
 
@@ -225,33 +226,34 @@ def academic_year(t):
     return t.documents.filter("text is not null").select("doc_id", F.when(ok, F.concat(a, F.lit("-"), b)).alias("academic_year"))
 
 
-@query()
+NAME_SQL = r"regexp_extract(regexp_replace(source_url, '[?#].*$', ''), '([^/\\]*)$', 1)"
+
+
+def context_sql(parts: str) -> str:
+    """CTEs f, s, e, k: k has doc_id and the academic year of the parts (doc_id, src, c), the first part and place first."""
+    y = metadata.YEARS
+    return f"""f AS ({parts}), s AS (SELECT doc_id, src, c, regexp_extract_all(c, '{y}') AS m, regexp_split_to_array(c, '{y}') AS p FROM f WHERE regexp_matches(c, '{y}')),
+  e AS (SELECT doc_id, src, c, i, m[i] AS hit, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM s)),
+  k AS (SELECT doc_id, min_by(regexp_extract(hit, '{y}', 1) || '-' || regexp_extract(hit, '{y}', 2), src * 1000000 + i) AS academic_year FROM e
+    WHERE CAST(regexp_extract(hit, '{y}', 2) AS INTEGER) - CAST(regexp_extract(hit, '{y}', 1) AS INTEGER) = 1
+      AND regexp_matches({fold_sql(f"substring(c, CAST(greatest(start - {metadata.AROUND}, 0) + 1 AS BIGINT), CAST(least(start, {metadata.AROUND}) + length(hit) + {metadata.AROUND} AS BIGINT))")}, '{"|".join(fixed.ACADEMIC_CONTEXT)}') GROUP BY doc_id)"""
+
+
+@query(f"WITH {context_sql('SELECT doc_id, 1 AS src, text AS c FROM documents WHERE text IS NOT NULL')} SELECT doc_id, academic_year FROM k")
 def academic_year_ctx(t):
-    import re
+    return t.documents.select("doc_id", metadata.academic_year(F.col("text")).alias("academic_year")).filter("academic_year is not null")
 
-    pattern = re.compile(YEARS)
 
-    @F.arrow_udf(T.StringType())
-    def find(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            hit = None
-            for m in pattern.finditer(text or ""):
-                around = text[max(0, m.start() - 80) : m.end() + 80].replace("İ", "i").lower()
-                if int(m.group(2)) - int(m.group(1)) == 1 and any(k in around for k in fixed.ACADEMIC_CONTEXT):
-                    hit = f"{m.group(1)}-{m.group(2)}"
-                    break
-            out.append(hit)
-        return pa.array(out, pa.string())
-
-    return t.documents.select("doc_id", find("text").alias("academic_year")).filter("academic_year is not null")
-
-
-@query(f"""WITH y AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(title, '{YEARS}', ' ', 'g'), '20[0-9]{{2}}')) AS ys FROM documents WHERE title IS NOT NULL)
-  SELECT doc_id, CASE WHEN len(ys) = 1 THEN ys[1] END AS document_year FROM y""")
+SINGLE_SQL = lambda c: f"CASE WHEN len(list_distinct(regexp_extract_all(regexp_replace({c}, '{metadata.YEARS}', ' ', 'g'), '\\b20[0-9]{{2}}\\b'))) = 1 THEN regexp_extract(regexp_replace({c}, '{metadata.YEARS}', ' ', 'g'), '\\b(20[0-9]{{2}})\\b', 1) END"
+
+
+@query(f"""WITH {context_sql(f"SELECT doc_id, 1 AS src, title AS c FROM documents UNION ALL SELECT doc_id, 2, {NAME_SQL} FROM documents UNION ALL SELECT doc_id, 3, text FROM documents")}
+  SELECT d.doc_id, k.academic_year, CASE WHEN k.academic_year IS NULL AND (coalesce(d.doc_kind IN ({list_sql(fixed.REPORT_KINDS)}), false) OR regexp_matches({fold_sql(f"concat_ws(' ', title, {NAME_SQL})")}, '{"|".join(fixed.REPORT_WORDS)}'))
+    THEN coalesce({SINGLE_SQL('title')}, {SINGLE_SQL(NAME_SQL)}) END AS document_year FROM documents d LEFT JOIN k USING (doc_id)""")
 def document_year(t):
-    ys = F.array_distinct(F.regexp_extract_all(F.regexp_replace("title", YEARS, " "), F.lit("20[0-9]{2}"), F.lit(0)))
-    return t.documents.filter("title is not null").select("doc_id", F.when(F.size(ys) == 1, ys[0]).alias("document_year"))
+    """Academic and document year from title, file name and whole text."""
+    academic, year = metadata.document_years(F.col("title"), F.col("source_url"), F.col("doc_kind"), F.col("text"))
+    return t.documents.select("doc_id", academic.alias("academic_year"), year.alias("document_year"))
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(translate(regexp_replace({fold_sql('title')}, '[.]pdf$', ''), 'çğıöşüâîû', 'cgiosuaiu'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents WHERE title IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import metadata
 from ..sources import state
 from .base import fold_sql, query
 
@@ -52,9 +53,20 @@ def meta_changed_rows(t):
     return state.changed_rows(before, after, "seed_id", ["title", "last_updated"])
 
 
-@query("SELECT seed_id, meta.source_id AS source_id, CASE WHEN regexp_matches(meta.source_url, '^https?://') THEN 'resolved' ELSE 'unresolved' END AS status, coalesce(meta.language, 'tr') AS language FROM test_seed")
+KEY_SQL = lambda c: f"trim(regexp_replace(translate(regexp_replace({fold_sql(c)}, '[.]pdf$', ''), 'çğıöşüâîû', 'cgiosuaiu'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH s AS (SELECT seed_id, meta.source_id AS source_id, meta.title AS title, CASE WHEN seed_id % 3 = 0 THEN 'C:\\arsiv\\' || coalesce(meta.title, 'x') || '.pdf' ELSE meta.source_url END AS path, coalesce(meta.language, 'tr') AS language FROM test_seed),
+  l AS (SELECT key, min(url) AS url FROM (SELECT {KEY_SQL('title')} AS key, source_url AS url FROM documents WHERE regexp_matches(source_url, '^https?://')) WHERE key <> '' GROUP BY key HAVING min(url) = max(url)),
+  p AS (SELECT *, trim(path) <> '' AND NOT regexp_matches(path, '(?i)^\s*https?://') AS is_local FROM s)
+  SELECT seed_id, source_id, language, CASE WHEN is_local THEN path END AS file_path, CASE WHEN is_local THEN coalesce(a.url, b.url) WHEN trim(path) <> '' THEN path END AS public_url, CASE WHEN is_local THEN CASE WHEN coalesce(a.url, b.url) IS NULL THEN 'unresolved_local_pdf' ELSE 'resolved' END END AS status
+  FROM p LEFT JOIN l a ON is_local AND a.key = {KEY_SQL("regexp_extract(regexp_replace(path, '[?#].*$', ''), '([^/' || chr(92) || chr(92) || ']*)$', 1)")} LEFT JOIN l b ON is_local AND b.key = {KEY_SQL('title')}""")
 def meta_rewrite(t):
-    return t.test_seed.select("seed_id", "meta.source_id", F.when(F.col("meta.source_url").rlike("^https?://"), "resolved").otherwise("unresolved").alias("status"), F.coalesce("meta.language", F.lit("tr")).alias("language"))
+    """Metadata of the seeds rewritten; every third seed stands for a local file named as its title, the documents' titles and addresses for the links."""
+    path = F.when(F.col("seed_id") % 3 == 0, F.concat(F.lit("C:\\arsiv\\"), F.coalesce("meta.title", F.lit("x")), F.lit(".pdf"))).otherwise(F.col("meta.source_url"))
+    seeds = t.test_seed.select("seed_id", "meta.source_id", "meta.title", path.alias("path"), F.coalesce("meta.language", F.lit("tr")).alias("language"))
+    links = t.documents.filter("source_url rlike '^https?://'").select(metadata.name_key(F.col("title")).alias("key"), F.col("source_url").alias("url"))
+    return metadata.with_public_urls(seeds, links, "path", "title").select("seed_id", "source_id", "language", "file_path", "public_url", "status")
 
 
 @query("SELECT doc_id FROM documents WHERE (doc_id // 4) IS DISTINCT FROM 25")

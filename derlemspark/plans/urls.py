@@ -103,3 +103,26 @@ def slug_title(t):
 def group_limit(t):
     w = Window.partitionBy("birim_id").orderBy("page_id")
     return t.page_results.select("birim_id", "page_id", F.col("url").alias("first_url")).withColumn("rn", F.row_number().over(w)).filter("rn <= 10").select("first_url", "page_id", "rn")
+
+
+# every page links to these forms of address
+HREFS = ("/media/f.pdf", "../ust/belge.pdf", "alt/sayfa?x=1", "./yan", "#bas", "?sayfa=2", "//diger.example/y", "https://dis.example/a/../b")
+ROOT_SQL = f"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {NETLOC}"
+DIR_SQL = f"CASE WHEN regexp_extract({REST}, '^([^?]*)', 1) LIKE '%/%' THEN regexp_replace(regexp_extract({REST}, '^([^?]*)', 1), '[^/]*$', '') ELSE '/' END"
+
+
+@query(f"""WITH h AS (SELECT page_id, url, unnest([{", ".join(f"'{h}'" for h in HREFS)}]) AS href FROM page_results),
+  j AS (SELECT page_id, href, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN href LIKE '//%' THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || ':' || href WHEN href LIKE '/%' THEN {ROOT_SQL} || href WHEN href LIKE '#%' THEN {ROOT_SQL} || {REST} || href
+    WHEN href LIKE '?%' THEN {ROOT_SQL} || regexp_extract({REST}, '^([^?]*)', 1) || href ELSE {ROOT_SQL} || {DIR_SQL} || href END AS u FROM h)
+  SELECT page_id, href, regexp_replace(regexp_replace(regexp_replace(u, '/\\./', '/', 'g'), '(://[^/]*(?:/.*)?)/[^/.?#][^/]*/\\.\\./', '\\1/'), '(://[^/]*)/\\.\\./', '\\1/') AS resolved FROM j""")
+def url_absolute(t):
+    h = t.page_results.select("page_id", "url", F.explode(F.array(*[F.lit(x) for x in HREFS])).alias("href"))
+    return h.select("page_id", "href", urls.absolute(F.col("url"), F.col("href")).alias("resolved"))
+
+
+@query(f"SELECT page_id, {ROOT_SQL} || '/dosya/f ' || (page_id % 50) || '.pdf' AS file FROM page_results")
+def viewer_unwrap(t):
+    """Files behind a viewer page; each page's host has one viewer address for each of fifty files."""
+    root = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")))
+    shown = F.concat(root, F.lit("/goster/web/PdfViewer.aspx?a=1&file=..%2F..%2Fdosya%2Ff%20"), (F.col("page_id") % 50).cast("string"), F.lit(".pdf&b=2#s"))
+    return t.page_results.select("page_id", urls.unwrapped(shown).alias("file"))

@@ -248,3 +248,47 @@ def test_bm25_on_empty_and_null_texts(spark):
     got = retrieval.top_bm25(docs, "doc_id", "text", asked, 5).collect()
     assert [(r["query_id"], r["doc_id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(9, 3, 1), (9, 4, 2)]
     assert retrieval.top_bm25(docs.limit(0), "doc_id", "text", asked, 5).count() == 0
+
+
+def test_years_of_titles_names_and_texts(spark):
+    from derlemspark.operators import metadata
+
+    def years(title, kind, text="", path=None):
+        df = spark.createDataFrame([(title, path, kind, text)], "title string, path string, kind string, text string")
+        academic, year = metadata.document_years(F.col("title"), F.col("path"), F.col("kind"), F.col("text"))
+        return tuple(df.select(academic, year).first())
+
+    assert years("Stratejik Plan 2022 - 2026", "rapor") == (None, None)
+    assert years("Stratejik Plan 2022 2026", "rapor") == (None, None)
+    assert years("2024 Yılı Faaliyet Raporu", "rapor") == (None, "2024")
+    assert years("2025 / 2026 Eğitim Öğretim Yılı Takvimi", "takvim") == ("2025-2026", None)
+    assert years("Duyuru", "duyuru", "x" * 5000 + " 2023–2024 güz dönemi ve 2024-2025 bahar") == ("2023-2024", None)
+    assert years("Duyuru", "duyuru", "2023-2024 " + "x" * 90 + " güz, 2025-2026") == ("2025-2026", None)
+    assert years("Rapor", None, None, "C:\\\\d\\\\Faaliyet 2021.pdf") == (None, "2021")
+    assert years(None, None, None) == (None, None) and years("", "", "") == (None, None)
+
+
+def test_local_files_get_public_urls(spark):
+    from derlemspark.operators import metadata
+
+    links = spark.createDataFrame([("2024 yili faaliyet raporu", "https://a.example/r.pdf"), ("iki", "https://a.example/1"), ("iki", "https://a.example/2"), ("", "https://a.example/3")], "key string, url string")
+    docs = spark.createDataFrame([(1, r"C:\data\2024 Yılı Faaliyet Raporu.pdf", "x"), (2, "/data/iki.pdf", "İki"), (3, "https://b.example/x", "y"), (4, None, "z"), (5, " ", "z"), (6, "/d/q.pdf", "2024 Yılı Faaliyet Raporu")], "id int, path string, title string")
+    got = {r["id"]: (r["file_path"], r["public_url"], r["status"]) for r in metadata.with_public_urls(docs, links, "path", "title").collect()}
+    assert got[1][1:] == ("https://a.example/r.pdf", "resolved") and got[6][1:] == ("https://a.example/r.pdf", "resolved")
+    assert got[2] == ("/data/iki.pdf", None, "unresolved_local_pdf") and got[3] == (None, "https://b.example/x", None)
+    assert got[4] == got[5] == (None, None, None)
+
+
+def test_addresses_are_read_against_their_page(spark):
+    from urllib.parse import urljoin
+
+    from derlemspark.operators import urls
+
+    base = "https://a.example/b/c/d?q=1"
+    hrefs = ["g", "./g", "g/", "/g", "//h.example/g", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "g/./h", "g/../h", "mailto:x@y.z", "https://c.example/x/../y"]
+    df = spark.createDataFrame([(base, h) for h in hrefs] + [("https://a.example", "g"), (base, None)], "base string, href string")
+    got = [r["u"] for r in df.select(urls.absolute(F.col("base"), F.col("href")).alias("u")).collect()]
+    wanted = [urljoin(base, h) if h != "https://c.example/x/../y" else "https://c.example/y" for h in hrefs]
+    assert got == [*wanted, "https://a.example/g", None]
+    assert one(spark, "https://a.example/m/web/PdfViewer.aspx?file=../../d/f%20x.pdf", urls.unwrapped) == "https://a.example/d/f x.pdf"
+    assert one(spark, "https://a.example/m/web/PdfViewer.aspx?x=1", urls.unwrapped).endswith("?x=1") and one(spark, "https://a.example/x.pdf?file=y", urls.unwrapped).endswith("file=y")
