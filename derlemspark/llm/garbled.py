@@ -55,6 +55,8 @@ RUN = re.compile(r"(?:[^\x00-\x7f]|\?)+")
 HURT = re.compile(rf"{_STRANGE}|[{SIGNS}?]")
 EDGES = "?" + SIGNS
 LOST = re.compile("[?\ufffd]")
+#: Signs that stand by themselves are no word.
+ONLY_SIGNS = re.compile(rf"[{SIGNS}?]+")
 #: Runs of nothing but correct letters, or of correct signs, or with lost letters.
 PLAIN = re.compile(rf"[{LETTERS}{SIGNS}A-Za-z›‹™\xa0 ]+")
 RIGHT = re.compile(rf"[{LETTERS}]+|[{SIGNS}]+|.*[?\ufffd].*")
@@ -94,7 +96,7 @@ def suspects(text: str) -> set[str]:
     for token in set(TOKEN.findall(text)):
         if token.isascii() and "?" not in token:
             continue
-        out.update(form for form in {token, token.strip(EDGES), token.rstrip(EDGES)} if form and HURT.search(form))
+        out.update(form for form in {token, token.strip(EDGES), token.rstrip(EDGES)} if form and HURT.search(form) and not ONLY_SIGNS.fullmatch(form))
     return out
 
 

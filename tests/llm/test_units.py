@@ -229,6 +229,7 @@ def test_short_words_and_long_runs_are_read_part_by_part():
     assert garbled.chance(mapping, "s", "Ã¼Ã§", "üç") == pytest.approx(0.9)
     assert garbled.chance(mapping, "s", "Ã¼Ã§" * 20, "üç" * 20) == pytest.approx(0.9**20)
     assert garbled.chance(mapping, "s", "Ã¼x", "üç") == 0.0
+    assert not garbled.suspects("20 € ve 5€ – ? ??")
     assert "Ã¼Ã§" in garbled.suspects("son Ã¼Ã§ yıl") and garbled.suspects("日" * 5000) == {"日" * 5000}
     assert garbled.best_reading({"Ã¼": ("ü", 1.0), "Ã§": ("ç", 0.9)}, "Ã¼Ã§") == "üç"
     assert garbled.best_reading({"Ã¼": ("ü", 1.0)}, "Ã¼Ã§") is None and garbled.best_reading({}, "Ã") is None
