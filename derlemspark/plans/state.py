@@ -58,7 +58,7 @@ KEY_SQL = lambda c: f"trim(regexp_replace(translate(regexp_replace({fold_sql(c)}
 
 @query(f"""WITH s AS (SELECT seed_id, meta.source_id AS source_id, meta.title AS title, CASE WHEN seed_id % 3 = 0 THEN 'C:\\arsiv\\' || coalesce(meta.title, 'x') || '.pdf' ELSE meta.source_url END AS path, coalesce(meta.language, 'tr') AS language FROM test_seed),
   l AS (SELECT key, min(url) AS url FROM (SELECT {KEY_SQL('title')} AS key, source_url AS url FROM documents WHERE regexp_matches(source_url, '^https?://')) WHERE key <> '' GROUP BY key HAVING min(url) = max(url)),
-  p AS (SELECT *, trim(path) <> '' AND NOT regexp_matches(path, '(?i)^\s*https?://') AS is_local FROM s)
+  p AS (SELECT *, trim(path) <> '' AND NOT regexp_matches(path, '(?i)^\\s*https?://') AS is_local FROM s)
   SELECT seed_id, source_id, language, CASE WHEN is_local THEN path END AS file_path, CASE WHEN is_local THEN coalesce(a.url, b.url) WHEN trim(path) <> '' THEN path END AS public_url, CASE WHEN is_local THEN CASE WHEN coalesce(a.url, b.url) IS NULL THEN 'unresolved_local_pdf' ELSE 'resolved' END END AS status
   FROM p LEFT JOIN l a ON is_local AND a.key = {KEY_SQL("regexp_extract(regexp_replace(path, '[?#].*$', ''), '([^/' || chr(92) || chr(92) || ']*)$', 1)")} LEFT JOIN l b ON is_local AND b.key = {KEY_SQL('title')}""")
 def meta_rewrite(t):
