@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,11 @@ def near(a: str, b: str, least: int = 4) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def title_of(word: str) -> str | None:
+    """The title that a word is, or that it is at one edit from: no other writing of the street would correct a word this short."""
+    return word if word in TITLES else next((t for t in sorted(TITLES) if near(word, t, 2)), None)
+
+
 def parse(address: str | None) -> dict | None:
     """Components of an address: quarter, street, kind, door, post, names (districts and provinces); None without an address."""
     if not address or not address.strip():
@@ -89,8 +95,9 @@ def parse(address: str | None) -> dict | None:
         if m:
             before, first, name = m.group(1), m.group(2), m.group(3)
             start = m.start(3)
-            if name in TITLES and first:
-                name, start, first = f"{first} {name}", m.start(2), before
+            title = title_of(name) if first and not any(near(first, r, 3) for r in RANK) else None
+            if title:
+                name, start, first = f"{first} {title}", m.start(2), before
             at = m.start(2) if start == m.start(3) else m.start(1)
             rank = next((r for r in RANK if first and near(first, r, 3)), None)
             start = at if rank else start
@@ -114,7 +121,7 @@ def phone_key(phone: str | None) -> str | None:
 FIELDS = ("street", "kind", "door", "quarter", "district", "province", "post")
 #: Names seen so often more than a near one are taken for its correct form; least rows of a name that corrects others.
 CORRECTS, MIN_NAME = 3, 3
-#: Share of the rows of a postcode that must agree on quarter and district for it to fill them in.
+#: Share of the rows of a postcode that must agree on the district for it to fill it in.
 POST_SHARE = 0.8
 ROUNDS, THRESHOLD, PRIOR = 40, 0.5, 0.1
 
@@ -197,28 +204,28 @@ def resolved(parts: DataFrame) -> DataFrame:
     )
     parts = parts.drop("names").join(placed, "id").select("id", "phone", "street", "kind", "door", "quarter", F.col("low.name").alias("district"), F.coalesce("top", "low.province").alias("province"), "post")
     parts = reliable(parts)
-    told = parts.filter("post is not null").groupBy("post", "quarter", "district").agg(F.count(F.lit(1)).alias("n"))
+    told = parts.filter("post is not null").groupBy("post", "district").agg(F.count(F.lit(1)).alias("n"))
 
     def usual(column: str) -> DataFrame:
         by = told.filter(F.col(column).isNotNull()).groupBy("post", column).agg(F.sum("n").alias("n"))
         best = by.groupBy("post").agg(F.sum("n").alias("all"), F.max_by(column, F.struct("n", column)).alias(f"__{column}"), F.max("n").alias("top"))
         return best.filter((F.col("top") >= MIN_NAME) & (F.col("top") >= F.col("all") * POST_SHARE)).select("post", f"__{column}")
 
-    for column in ("quarter", "district"):
-        parts = guarded_join(parts, usual(column), ["post"], "left").withColumn(column, F.coalesce(column, f"__{column}")).drop(f"__{column}")
+    # a postcode lies in one district but in several quarters: the usual quarter, filled in, would contradict the others
+    parts = guarded_join(parts, usual("district"), ["post"], "left").withColumn("district", F.coalesce("district", "__district")).drop("__district")
     up = tree.select(F.col("name").alias("district"), F.col("province").alias("__up"))
     parts = guarded_join(parts, up, ["district"], "left").withColumn("province", F.coalesce("province", "__up")).drop("__up")
     return reliable(with_doors(parts))
 
 
 def with_doors(parts: DataFrame) -> DataFrame:
-    """Without a door number a record gets that of the records on its street with its telephone, or the telephone itself in its place."""
+    """Without a door number a record gets that of the records on its street with its telephone whose area doesn't contradict its own, or the telephone itself in its place."""
     parts = reliable(parts)
-    known = parts.filter("door is not null and phone is not null").groupBy("street", "kind", "phone", "door").agg(F.count(F.lit(1)).alias("n"), F.min("district").alias("d1"), F.max("district").alias("d2"))
-    known = known.groupBy("street", "kind", "phone").agg(F.collect_set(F.struct("door", "d1", "d2")).alias("doors"))
+    area = ("quarter", "district", "province")
+    known = parts.filter("door is not null and phone is not null").groupBy("street", "kind", "phone").agg(F.collect_set(F.struct("door", *area)).alias("doors"))
     none = parts.filter("door is null and phone is not null")
     met = none.join(known, ["street", "kind", "phone"], "left")
-    fits = F.filter("doors", lambda x: F.col("district").isNull() | x["d1"].isNull() | F.col("district").between(x["d1"], x["d2"]))
+    fits = F.filter("doors", lambda x: reduce(lambda p, q: p & q, [F.coalesce(x[k] == F.col(k), F.lit(True)) for k in area]))
     doors = F.array_distinct(F.transform(fits, lambda x: x["door"]))
     filled = met.withColumn("door", F.when(F.size(doors) == 1, doors[0]).otherwise(F.concat(F.lit("tel:"), "phone"))).select(parts.columns)
     return parts.filter("door is not null").unionByName(filled)
@@ -245,26 +252,29 @@ def levels(a: str, b: str) -> Column:
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior of a match for each pattern of agreement levels, by expectation-maximization with missing as a level of its own.
 
-    Pairs that contradict each other are known to be none: they teach how often each level agrees by chance.
+    Pairs that contradict each other are known to be none: they teach how often each level agrees by chance. Only pairs on
+    one street with one door teach: blocking meets all of these, whatever else they agree on, while of the others it meets
+    those that agree on an area, ever more of them the larger the table, which would make agreement on all look like chance.
     """
+    post = {p: 0.0 for p, _ in patterns}
+    patterns = [(p, n) for p, n in patterns if p[0] in (1, 2) and p[2] == 2]
     if not patterns:
-        return {}
+        return post
     width = len(patterns[0][0])
     share = 0.2
     first_m, first_u = {2: 0.9, 1: 0.05, 0: 0.03, 3: 0.1}, {2: 0.2, 1: 0.05, 0: 0.7, 3: 0.1}
     m, u = [dict(first_m) for _ in range(width)], [dict(first_u) for _ in range(width)]
     total = sum(n for _, n in patterns)
-    post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for p, _n in patterns:
-            odds = math.log(share / (1 - share)) + sum(math.log(m[k][v] / u[k][v]) for k, v in enumerate(p))
+            odds = math.log(share / (1 - share)) + sum(math.log(m[k][v] / u[k][v]) for k, v in enumerate(p) if k != 2)  # the door is the same in all
             post[p] = 0.0 if contradicts(p) else 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
         matched = sum(n * post[p] for p, n in patterns)
-        share = min(0.99, max(0.001, matched / total))
+        share = min(0.99, max(1 / (total + 2), matched / total))
         for k in range(width):
-            for table, first, part in ((m, first_m, lambda p: post[p]), (u, first_u, lambda p: 1 - post[p])):
-                # the first tables count as PRIOR of the pairs: what is missing often doesn't become a class of its own
-                mass = {v: 0.5 + PRIOR * total * first[v] + sum(n * part(p) for p, n in patterns if p[k] == v) for v in (0, 1, 2, 3)}
+            for table, first, part, own in ((m, first_m, lambda p: post[p], matched), (u, first_u, lambda p: 1 - post[p], total)):
+                # the first tables count as PRIOR of the matches, of all pairs for the rest: what is missing often doesn't become a class of its own
+                mass = {v: 0.5 + PRIOR * own * first[v] + sum(n * part(p) for p, n in patterns if p[k] == v) for v in (0, 1, 2, 3)}
                 z = sum(mass.values())
                 table[k] = {v: x / z for v, x in mass.items()}
     return post
@@ -273,8 +283,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
 def linked_classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (id, class) and links (a, b, weight) between classes of records with the same components.
 
-    Pairs of classes come from five blocking keys: street sound and door, street sound and postcode, street sound
-    and district, postcode and door, and door with the street or the street with one letter left out. Copies are
+    Pairs of classes come from two blocking keys: street sound and door, and door with the street or the street with one
+    letter left out. All pairs that contradicts() allows have one door and streets at most one letter apart, so they meet
+    here; blocks on postcode or district would add only pairs that it excludes, as many as the square of the rows. Copies are
     collapsed before, so a hot place is a few classes however many rows it has; what is still a hot key (the main
     street of a large city) is dealt to cells. The weights decide whether streets one edit apart, and records that leave
     parts out, are one place; pairs that contradicts() excludes by definition teach them what chance agreement looks like.
@@ -294,7 +305,7 @@ def linked_classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         b = keyed.select(*[F.col(c).alias(f"{c}_b") for c in classes.columns], "key", "door")
         return hot_join(keyed, b, ["key", "door"]).filter(F.col("class") < F.col("class_b")).select(*classes.columns, *[f"{c}_b" for c in classes.columns])
 
-    pairs = block("sound", "door").unionByName(block("sound", "post")).unionByName(block("sound", "district")).unionByName(block("post", "door")).unionByName(one_letter()).dropDuplicates(["class", "class_b"])
+    pairs = block("sound", "door").unionByName(one_letter()).dropDuplicates(["class", "class_b"])
     marked = reliable(pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b"), *[levels(f, f"{f}_b").alias(f"l_{f}") for f in FIELDS]))
     names = [f"l_{f}" for f in FIELDS]
     patterns = [(tuple(r[:-1]), r[-1]) for r in marked.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 4 ** 7 rows

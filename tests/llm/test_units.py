@@ -306,6 +306,30 @@ def test_letters_that_changed_places_are_one_edit(spark):
     assert {tuple(r) for r in addresses.pairs(*addresses.same_place(df, "id", "address", "phone"), "id").collect()} == {(4 * i + a, 4 * i + b) for i in range(4) for a, b in ((0, 1), (0, 3), (1, 3))}
 
 
+def test_chance_pairs_of_a_large_table_do_not_unlearn_agreement():
+    """Matches grow with the rows, pairs that one street and district brings together with their square."""
+    whole, short = (2, 2, 2, 2, 2, 2, 3), (2, 2, 2, 3, 2, 2, 3)
+    for k in (1, 10, 200):
+        chance = [((2, 2, 0, 2, 2, 2, 3), 60 * k * k), ((2, 2, 0, 3, 2, 2, 3), 50 * k * k), ((0, 2, 2, 2, 2, 2, 2), 90 * k * k), ((2, 2, 2, 0, 0, 0, 3), 2 * k * k)]
+        weight = addresses.estimate([(whole, 300 * k), (short, 360 * k), *chance])
+        assert min(weight[whole], weight[short]) > 0.9 and max(weight[p] for p, _ in chance) == 0
+
+
+def test_usual_quarter_of_a_postcode_is_not_filled_in(spark):
+    rows = [(i, f"Barış Mah. {1200 + i}. Sk. No {i} 91200 Otluca / Bozdoruk", "") for i in range(9)]
+    rows += [(20, "Zafer Mah. Ötügen Sk. No 103 91200 Otluca / Bozdoruk", ""), (21, "Ötügen Sokağı No:103 91200 Otluca / Bozdoruk", "")]
+    df = spark.createDataFrame(rows, "id bigint, address string, phone string")
+    assert [tuple(r) for r in addresses.pairs(*addresses.same_place(df, "id", "address", "phone"), "id").collect()] == [(20, 21)]
+
+
+def test_typo_in_a_title_and_door_by_telephone_and_area(spark):
+    assert {addresses.parse(f"Yeni Fevzi {x} Cad. No 4")["street"] for x in ("Bey", "eBy", "ey", "Beey")} == {"yeni fevzi bey"}
+    assert addresses.parse("Yeni Boy Cad. No 4")["street"] == "yeni boy"
+    rows = [("2", "t1", "a", "c", "p", "5"), ("2", "t1", "b", "h", "p", "9"), ("2", "t1", "d", "z", "p", "5"), ("2", "t1", "b", "h", "p", None)]
+    parts = spark.createDataFrame([(i, t, s, "sokak", d, q, x, v, None) for i, (s, t, q, x, v, d) in enumerate(rows)], "id bigint, phone string, street string, kind string, door string, quarter string, district string, province string, post string")
+    assert {r["id"]: r["door"] for r in addresses.with_doors(parts).collect()}[3] == "9"
+
+
 def test_grades_and_levels():
     counts = np.array([[9.0, 1, 0, 0], [0, 0, 1, 9], [5, 5, 5, 5]])
     g = reading.grades_from(counts, np.array([10.0, 10, 10, 10]))
