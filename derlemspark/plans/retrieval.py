@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import fold, strings, tokens
 from ..operators import retrieval as R
-from ..operators.joins import hot_join
+from ..operators.joins import guarded_join, hot_join
 from ..session import reliable
 from .base import fold_sql, list_sql, query, tokens_sql
 
@@ -35,8 +35,10 @@ def titles(t):
     return t.documents.filter("doc_id % 50 = 0")
 
 
-def keyword_leg(t, k):
-    return R.top_bm25(t.documents, "doc_id", "text", R.query_terms(titles(t), "doc_id", "title"), k)
+def keyword_leg(t, k, asked=None):
+    """asked: column query_id, if only these queries are of use."""
+    terms = R.query_terms(titles(t), "doc_id", "title")
+    return R.top_bm25(t.documents, "doc_id", "text", terms if asked is None else guarded_join(terms, asked, ["query_id"], "left_semi"), k)
 
 
 @query(f"WITH {VEC} SELECT query_id, vec_id, similarity, rank FROM vr WHERE rank <= 5")
@@ -51,11 +53,7 @@ def bm25_topk(t):
 
 @query(f"WITH {BM}, n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1) SELECT query_id, doc_id FROM qt JOIN tf USING (term) JOIN n USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n")
 def keyword_and(t):
-    q = R.query_terms(titles(t), "doc_id", "title")
-    index = R.terms(t.documents, "doc_id", "text", q)
-    n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = hot_join(index, q, ["term"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m"))
-    return hits.join(n, "query_id").filter("m = n").select("query_id", "doc_id")
+    return R.all_terms(t.documents, "doc_id", "text", R.query_terms(titles(t), "doc_id", "title"))
 
 
 RRF_SQL = f"""WITH {VEC}, {BM}, u AS (SELECT query_id, vec_id AS id, rank FROM vr WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM kr WHERE rank <= 10),

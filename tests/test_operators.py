@@ -250,6 +250,33 @@ def test_bm25_on_empty_and_null_texts(spark):
     assert retrieval.top_bm25(docs.limit(0), "doc_id", "text", asked, 5).count() == 0
 
 
+def test_keyword_index_is_packed_and_its_tiles_give_the_best(spark, monkeypatch):
+    """Every posting takes a few bytes, no pair of query and document is written, and pruning loses nothing, ties by id included."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice("abcdefghijklmnop") * rng.choice((1, 1, 2)) for _ in range(rng.randint(0, 40))) for i in range(1500)}
+    asked = {q: rng.sample(["a", "b", "cc", "dd", "e", "ff", "yok"], rng.randint(1, 5)) for q in range(40)}
+    docs = spark.createDataFrame([(i, x) for i, x in texts.items()], "doc_id bigint, text string").repartition(3)
+    terms = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "query_id bigint, term string")
+    size = retrieval.shards(docs, "doc_id", "text", terms).selectExpr("sum(n)", "sum(total)", "sum(length(places) + length(tf))").first()
+    cut = {i: x.split() for i, x in texts.items()}
+    assert size[:2] == (1500, sum(map(len, cut.values()))) and size[2] == 3 * sum(len({"a", "b", "cc", "dd", "e", "ff"} & set(x)) for x in cut.values())
+    n, avgdl = 1500, size[1] / 1500
+    idf = {w: math.log(1 + (n - df + 0.5) / (df + 0.5)) for w in ("a", "b", "cc", "dd", "e", "ff", "yok") for df in [sum(w in x for x in cut.values())]}
+    best, whole = set(), set()
+    for q, ws in asked.items():
+        score = {i: round(sum(idf[w] * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / avgdl)) for w in ws), 6) for i, x in cut.items() if set(ws) & set(x)}
+        best |= {(q, i, s, r) for r, (s, i) in enumerate(sorted((-s, i) for i, s in score.items())[:7], 1) for s in [-s]}
+        whole |= {(q, i) for i, x in cut.items() if set(ws) <= set(x)}
+    for tile, block in ((1 << 17, 1 << 16), (100, 9)):
+        monkeypatch.setattr(retrieval, "TILE_DOCS", tile)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        assert {tuple(r) for r in retrieval.top_bm25(docs, "doc_id", "text", terms, 7).collect()} == best
+        assert {tuple(r) for r in retrieval.all_terms(docs, "doc_id", "text", terms).collect()} == whole
+
+
 def test_years_of_titles_names_and_texts(spark):
     from derlemspark.operators import metadata
 
