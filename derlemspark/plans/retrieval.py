@@ -154,8 +154,10 @@ DOC_SQL = "'[' || coalesce(category, '') || '] ' || coalesce(title, '') || chr(1
 @query(f"{RRF_SQL} SELECT query_id, string_agg({DOC_SQL}, chr(10) || '---' || chr(10) ORDER BY rank) || chr(10) || 'Soru: ' || (SELECT coalesce(q.title, '') FROM documents q WHERE q.doc_id = query_id) AS prompt FROM r JOIN documents ON doc_id = id WHERE rank <= 5 AND query_id IN (SELECT doc_id FROM documents) GROUP BY query_id")
 def prompt_render(t):
     docs = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("["), F.coalesce("category", F.lit("")), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\nKaynak: "), F.coalesce(F.when(F.col("source_url").like("http%"), F.col("source_url")), "title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("part"))
-    parts = fused(t).join(docs, "id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "part"))).alias("p"))  # at most five documents a query
-    asked = t.documents.select(F.col("doc_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("question"))
+    found = reliable(fused(t))
+    docs = guarded_join(docs, found.select("id").distinct(), ["id"], "left_semi")  # no other text is moved
+    parts = found.join(docs, "id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "part"))).alias("p"))  # at most five documents a query
+    asked = titles(t).select(F.col("doc_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("question"))
     return parts.join(asked, "query_id").select("query_id", F.concat(F.array_join(F.transform("p", lambda x: x["part"]), "\n---\n"), F.lit("\nSoru: "), "question").alias("prompt"))
 
 
